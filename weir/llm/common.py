@@ -109,7 +109,7 @@ _powers = np.ones(1, np.uint64)
 def _pow(n: int) -> np.ndarray:
     global _powers
     while len(_powers) < n:
-        top = _powers[-1] * _STEP
+        top = np.uint64(int(_powers[-1]) * int(_STEP) & 0xFFFFFFFFFFFFFFFF)
         _powers = np.concatenate([_powers, _powers * top])
     return _powers
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, url_filter
+from . import common, langid, license_scan, mixing, quality, url_filter
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -95,9 +95,23 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", common.held_out())
+    forest = quality.fit(docs, table(spark, sf_dir, "labels"), learn=~F.col("held_out"))
+    return quality.score(docs, forest, id_cols=("doc_id", "held_out")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", common.held_out())
+    model = langid.fit(docs, learn=~F.col("held_out"))
+    return langid.identify(docs, model, id_cols=("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
     "op3_license_scan": op3_license_scan,
+    "op8_quality": op8_quality,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op2_mixing": OP2_SQL}
