@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, license_scan, mixing, quality, url_filter
+from . import common, fingerprint, langid, license_scan, mixing, packing, quality, token_codec, url_filter
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -95,12 +95,28 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.fresh_path(spark, "token-files")
+    token_codec.write_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
+    back = token_codec.read_corpus(spark, folder)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", common.held_out())
     forest = quality.fit(docs, table(spark, sf_dir, "labels"), learn=~F.col("held_out"))
     return quality.score(docs, forest, id_cols=("doc_id", "held_out")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", common.held_out())
     model = langid.fit(docs, learn=~F.col("held_out"))
@@ -111,7 +127,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
     "op3_license_scan": op3_license_scan,
+    "op5_packing": op5_packing,
+    "op6_token_output": op6_token_output,
     "op8_quality": op8_quality,
+    "op9_fingerprints": op9_fingerprints,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op2_mixing": OP2_SQL}
