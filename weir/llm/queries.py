@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, langid, license_scan, mixing, packing, quality, token_codec, url_filter
+from . import common, fingerprint, jaccard_join, langid, license_scan, mixing, packing, quality, token_codec, url_filter
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -107,6 +107,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", common.held_out())
     forest = quality.fit(docs, table(spark, sf_dir, "labels"), learn=~F.col("held_out"))
@@ -129,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op5_packing": op5_packing,
     "op6_token_output": op6_token_output,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_quality": op8_quality,
     "op9_fingerprints": op9_fingerprints,
     "op10_language_id": op10_language_id,
