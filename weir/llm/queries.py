@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, jaccard_join, langid, license_scan, mixing, packing, quality, token_codec, url_filter
+from . import ann, common, fingerprint, jaccard_join, langid, license_scan, mixing, packing, quality, token_codec, url_filter
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -95,6 +95,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20).select("query_id", "rank", "vec_id", "score")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -131,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
     "op3_license_scan": op3_license_scan,
+    "op4_nearest": op4_nearest,
     "op5_packing": op5_packing,
     "op6_token_output": op6_token_output,
     "op7_jaccard_join": op7_jaccard_join,
