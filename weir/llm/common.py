@@ -8,6 +8,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 256
 #: Bytes of text hashed in one go; bounds the memory of the numpy temporaries.
 SEGMENT_BYTES = 1 << 21
+#: Bytes of text that are tokenised in one go.
+GATHERED_BYTES = 8 << 20
 
 _workspaces: dict[str, str] = {}
 
@@ -83,6 +86,26 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - lo
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text_bytes: int = GATHERED_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to about so many bytes, for work that gains from many rows at once."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= text_bytes:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def binary_rows(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """values[offsets[k]:offsets[k + 1]] as the bytes of row k."""
+    data = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * data.itemsize).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)

@@ -35,26 +35,20 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = tokens.ChunkEncoder.of(path), np.uint32(end_id).tobytes()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            which, number, start, size, ids = [], [], [], [], []
-            for k, got in enumerate(encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
-                got += end
-                n, at, piece = len(got) // 4, 0, 0
-                while at < n:
-                    stop = at + ((n % length or length) if piece == 0 else length)
-                    which.append(k)
-                    number.append(piece)
-                    start.append(at)
-                    size.append(stop - at)
-                    ids.append(got[4 * at : 4 * stop])
-                    at, piece = stop, piece + 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(which, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.binary())],
-                ["id", "piece", "start", "length", "ids"],
-            )
+        encoder = tokens.ChunkEncoder.of(path)
+        for batch in common.gathered(batches):
+            ids, at = encoder.encode_rows(batch.column(1), end_id)
+            n = np.diff(at)
+            count = -(-n // length)
+            which = np.repeat(np.arange(len(n)), count)
+            number = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+            first = (n - 1) % length + 1
+            start = np.where(number == 0, 0, first[which] + (number - 1) * length)
+            size = np.where(number == 0, first[which], length)
+            # pieces lie one behind another, as the ids do
+            bounds = np.concatenate([[0], np.cumsum(size)])
+            arrays = [batch.column(0).take(pa.array(which)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), common.binary_rows(ids.astype("<u4"), bounds)]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "piece", "start", "length", "ids"])
 
     return rows.mapInArrow(run, f"id {id_type}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
 

@@ -219,11 +219,10 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = tokens.ChunkEncoder.of(path), np.uint32(end_id).tobytes()
-        for batch in batches:
-            got = [x + end for x in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
-            ids = [np.frombuffer(x, "<u4").astype(width).tobytes() for x in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        encoder = tokens.ChunkEncoder.of(path)
+        for batch in common.gathered(batches):
+            ids, at = encoder.encode_rows(batch.column(1), end_id)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), common.binary_rows(ids.astype(width), at)], ["doc_id", "n_tokens", "ids"])
 
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
