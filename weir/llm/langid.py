@@ -186,7 +186,9 @@ def identify(docs: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id"
     spark = docs.sparkSession
     common.tune(spark)
     sent = spark.sparkContext.broadcast(model)
-    rows = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(id_cols)], docs[text_col].alias("t"))
+    # the text is sent once, also where it is kept
+    text_at = id_cols.index(text_col) if text_col in id_cols else len(id_cols)
+    rows = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(id_cols)], *([] if text_at < len(id_cols) else [docs[text_col].alias("t")]))
     keys = ", ".join(f"`k{i}` {rows.schema[i].dataType.simpleString()}" for i in range(len(id_cols)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +196,7 @@ def identify(docs: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id"
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw, offsets = common.utf8(batch.column(len(id_cols)))
+            raw, offsets = common.utf8(batch.column(text_at))
             letters = np.concatenate([[0], np.cumsum(_LETTER[raw])])
             some = letters[offsets[1:]] > letters[offsets[:-1]]
             for k in np.flatnonzero(~some):

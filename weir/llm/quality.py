@@ -204,14 +204,16 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH)
 def _featured(docs: DataFrame, id_cols: tuple[str, ...], text_col: str, forest) -> DataFrame:
     """id_cols and, without a forest, the array of features; else the score."""
     common.tune(docs.sparkSession)
-    rows = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(id_cols)], docs[text_col].alias("t"))
+    # the text is sent once, also where it is kept
+    text_at = id_cols.index(text_col) if text_col in id_cols else len(id_cols)
+    rows = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(id_cols)], *([] if text_at < len(id_cols) else [docs[text_col].alias("t")]))
     keys = ", ".join(f"`k{i}` {rows.schema[i].dataType.simpleString()}" for i in range(len(id_cols)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = statistics(*common.utf8(batch.column(len(id_cols))))
+            x = statistics(*common.utf8(batch.column(text_at)))
             made = pa.array(list(x), pa.list_(pa.float64())) if forest is None else pa.array(forest.value.score(x), pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(id_cols))], made], [*[f"k{i}" for i in range(len(id_cols))], "made"])
 
