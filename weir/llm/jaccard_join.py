@@ -8,11 +8,12 @@ class, of which only the smallest document goes on. The rest:
    class-by-token matrix, in column blocks), which gives local components.
 2. Bridges. For other seeds the same is done with one class of every local component and hash, so that a large family
    of near copies is joined with few comparisons.
-3. The matrix. Every class has to share a token with a linked one among its first n - ceil(threshold * n) + 1 in a
-   global order (rare first). The rows of the token-group matrix that matter are therefore the tokens in these prefixes
-   that several components have. They give the pairs of class and group that can link and aren't in one component.
-   For each, the group's token union bounds the overlap that any member can have with the class; only where the bound
-   reaches what the threshold asks of the group's sizes, the group is opened and its members are compared exactly.
+3. The matrix. With tokens in a global order (rare first), two linked classes share at least k tokens among their first
+   n - ceil(threshold * n) + k, with k a tenth of the smaller set. The rows of the token-group matrix that matter are
+   therefore the tokens in these prefixes that several components have. A class asks a group if the group's row union
+   has k of its prefix tokens, from members of fitting size in another component. For each such pair the group's whole
+   token union bounds the overlap that any member can have with the class; only where the bound reaches what the
+   threshold asks of the group's sizes, the group is opened and its members are compared exactly.
 
 No link between different components is lost: steps 1 and 2 only save work, and step 3 covers every pair of classes
 that is not yet connected. Frequencies for the order come from all documents; each task reports its frequent tokens,
@@ -44,13 +45,21 @@ GROUP, GROUP_TOKENS, BLOCK = 128, 400_000, 8192
 FREQUENT, LEAST_COUNT = 100_000, 8
 #: Up to this many ids (8 bytes each) are broadcast to pick documents; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: One in so many tokens of a set has to be shared in the prefixes (at least one).
+NEEDED = 10
 #: Classes that ask one group in one task.
 QUERIES = 512
 _SEED = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377, 0xBE5466CF34E90C6C)]
 
 
+def needed(n: int) -> int:
+    """Tokens that two linked sets share in their prefixes, for the smaller of them; grows with the set."""
+    return max(1, n // NEEDED)
+
+
 def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
-    return n - -(-threshold * n // 100) + 1 if n else 0
+    """With an overlap of at least threshold * n, the first needed(n) shared tokens are among so many."""
+    return min(n, n - -(-threshold * n // 100) + needed(n)) if n else 0
 
 
 def linked(shared: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
@@ -358,7 +367,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         & (F.col("most") * 100 >= F.col("n") * threshold)
         & (F.col("least") * threshold <= F.col("n") * 100)
     )
-    pairs = common.written(placed.join(cells, can).select("rep", F.col("to").alias("grp")).distinct(), "jaccard-pairs")
+    hits = placed.join(cells, can).groupBy("rep", F.col("to").alias("grp")).agg(F.count("*").alias("hits"), F.min(F.least("n", "least")).alias("least"))
+    pairs = common.written(hits.filter(F.col("hits") >= F.greatest(F.lit(1), F.floor(F.col("least") / NEEDED))).select("rep", "grp"), "jaccard-pairs")
     if not pairs.isEmpty():
         edges = edges.unionByName(open_groups(pairs, groups, roots, docs, id_col, text_col, threshold))
         roots = components(edges)
