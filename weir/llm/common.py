@@ -56,6 +56,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{workspace(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

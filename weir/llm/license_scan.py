@@ -4,7 +4,8 @@ A template is licence wording in which `[[ ... ]]` marks an optional region (it
 replaceable one of 0 to n words. It is compiled into an automaton over word tokens: mandatory words are exact
 transitions, optional regions are skips, and replaceable ones are counted runs of any word. A text is accepted at a
 place where the automaton passes from its first to its last state over consecutive words, so that all mandatory
-wording matches exactly. Every place of a text is tried, and each start reports its longest acceptance.
+wording matches exactly. Every place of a text is tried; of the templates accepted from one start the longest acceptance counts
+(base phrases always do).
 
 Words are the runs of other characters than ASCII punctuation, space and control ones, A-Z lower-cased.
 
@@ -173,9 +174,9 @@ class Scanner:
                     at = words.index(w, at + 1)
                 except ValueError:
                     break
-                for is_base, a in entries:
-                    if (end := a.longest(words, at)) >= 0:
-                        found.append((a.label, is_base, at, end))
+                here = [(a.label, is_base, at, end) for is_base, a in entries if (end := a.longest(words, at)) >= 0]
+                reach = max((m[3] for m in here if not m[1]), default=0)
+                found += [m for m in here if m[1] or m[3] == reach]
         return len(words), sorted(found, key=lambda m: (m[2], m[3], m[0]))
 
 

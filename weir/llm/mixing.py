@@ -47,9 +47,9 @@ def water_fill(sizes: DataFrame, weights: DataFrame, share: float = 1.0, max_epo
     by_ratio = W.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last())
     before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
     everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    live = s.filter(F.col("w") > 0)
     stepped = (
-        live.withColumn("budget", F.sum("source_size").over(everything) * share)
+        s.withColumn("budget", F.sum("source_size").over(everything) * share)
+        .filter(F.col("w") > 0)
         .withColumn("w_left", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
         .withColumn("left", F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         .withColumn("level", F.col("left") / F.col("w_left"))

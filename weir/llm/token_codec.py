@@ -251,6 +251,7 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     The manifest has path, first_token (ids in all files before), n_tokens, n_docs and bytes.
     """
     spark = docs.sparkSession
+    common.make_folder(spark, folder)
     path = tokenizer or tokens.default_path()
     vocabulary = tokens.ChunkEncoder.of(path).vocabulary
     width = 2 if vocabulary <= 1 << 16 else 4
