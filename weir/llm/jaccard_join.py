@@ -9,14 +9,15 @@ class, of which only the smallest document goes on. The rest:
 2. Bridges. For other seeds the same is done with one class of every local component and hash, so that a large family
    of near copies is joined with few comparisons.
 3. The matrix. With tokens in a global order (rare first), two linked classes share at least k tokens among their first
-   n - ceil(threshold * n) + k, with k a tenth of the smaller set. The rows of the token-group matrix that matter are
-   therefore the tokens in these prefixes that several components have. A class asks a group if the group's row union
-   has k of its prefix tokens, from members of fitting size in another component. For each such pair the group's whole
-   token union bounds the overlap that any member can have with the class; only where the bound reaches what the
-   threshold asks of the group's sizes, the group is opened and its members are compared exactly.
+   n - ceil(threshold * n) + k, with k a twentieth of the smaller set. The rows of the token-group matrix that matter are
+   therefore the tokens in these prefixes that several components have. Two groups meet if their rows share k tokens
+   from members of fitting sizes in different components. For each class of the one and the other group, the group's
+   whole token union bounds the overlap that any member can have with the class; only where the bound reaches what the
+   threshold asks of the group's sizes, the group is opened and its members are compared exactly. Of two classes the
+   one in the smaller component asks.
 
 No link between different components is lost: steps 1 and 2 only save work, and step 3 covers every pair of classes
-that is not yet connected. Frequencies for the order come from all documents; each task reports its frequent tokens,
+that is not yet connected. Frequencies for the order come from all documents; each task reports tokens of several sets,
 and at most FREQUENT of them are sent to the executors. The order decides cost only, never results.
 
 Defined results: texts without words (null, empty) have an empty set and link with nothing; rows that repeat an id are
@@ -40,13 +41,13 @@ from .components import components
 WIDTH, THRESHOLD = 5, 80
 SEEDS = 4
 #: Classes and tokens in one group, and tokens in one block of columns of a group's matrix.
-GROUP, GROUP_TOKENS, BLOCK = 128, 400_000, 8192
-#: Tokens whose frequency is known to the order (16 bytes each), and the least count in one task's documents.
-FREQUENT, LEAST_COUNT = 100_000, 8
+GROUP, GROUP_TOKENS, BLOCK = 256, 300_000, 8192
+#: Tokens whose frequency is known to the order (16 bytes each), and the least count in one task's different sets.
+FREQUENT, LEAST_COUNT = 1_000_000, 2
 #: Up to this many ids (8 bytes each) are broadcast to pick documents; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: One in so many tokens of a set has to be shared in the prefixes (at least one).
-NEEDED = 10
+NEEDED = 20
 #: Classes that ask one group in one task.
 QUERIES = 512
 _SEED = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377, 0xBE5466CF34E90C6C)]
@@ -87,8 +88,14 @@ def frequent_tokens(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
                 kept, counts = kept[top], counts[top]
             buffer, size = [], 0
 
+        known: set[tuple[int, int]] = set()
         for batch in batches:
             for s in common.shingle_sets(batch.column(0), WIDTH):
+                name = (len(s), int(common.mix(s).sum(dtype=np.uint64)))
+                if name in known:
+                    continue  # equal sets are one class
+                if len(known) < 200_000:
+                    known.add(name)
                 buffer.append(s)
                 size += len(s)
                 if size > 3_000_000:
@@ -101,7 +108,7 @@ def frequent_tokens(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
             kept, counts = kept[most], counts[most]
         yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64), pa.int64()), pa.array(counts, pa.int64())], ["token", "n"])
 
-    found = docs.select(text_col).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
+    found = docs.select(text_col).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > LEAST_COUNT).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
     ids, n = found["token"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     ranks = np.empty(len(ids), np.int64)
     ranks[np.lexsort((ids, n))] = np.arange(len(ids))
@@ -357,18 +364,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spread = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
     crossing = named.join(common.written(spread, "jaccard-spread"), "token", "left_semi")
     placed = common.written(crossing.join(groups.select(F.col("rep").alias("g_rep"), "grp"), F.col("rep") == F.col("g_rep")).select("token", "root", "rep", "n", "grp"), "jaccard-placed")
-    cells = placed.groupBy("token", F.col("grp").alias("to")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
-    cells = common.written(cells, "jaccard-matrix").withColumnRenamed("token", "cell")
-    # each unordered pair of classes is asked from the higher group
+    cells = placed.groupBy("token", "grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    cells = common.written(cells, "jaccard-matrix")
+    other = cells.select(*[F.col(c).alias(f"o_{c}") for c in cells.columns])
+    # each unordered pair of groups once, where members of other components and of fitting sizes have the token
     can = (
-        (F.col("token") == F.col("cell"))
-        & (F.col("grp") > F.col("to"))
-        & ((F.col("lo") != F.col("root")) | (F.col("hi") != F.col("root")))
-        & (F.col("most") * 100 >= F.col("n") * threshold)
-        & (F.col("least") * threshold <= F.col("n") * 100)
+        (F.col("token") == F.col("o_token"))
+        & (F.col("grp") > F.col("o_grp"))
+        & ((F.col("lo") != F.col("hi")) | (F.col("o_lo") != F.col("o_hi")) | (F.col("lo") != F.col("o_lo")))
+        & (F.col("most") * 100 >= F.col("o_least") * threshold)
+        & (F.col("o_most") * 100 >= F.col("least") * threshold)
     )
-    hits = placed.join(cells, can).groupBy("rep", F.col("to").alias("grp")).agg(F.count("*").alias("hits"), F.min(F.least("n", "least")).alias("least"))
-    pairs = common.written(hits.filter(F.col("hits") >= F.greatest(F.lit(1), F.floor(F.col("least") / NEEDED))).select("rep", "grp"), "jaccard-pairs")
+    hits = cells.join(other, can).groupBy("grp", "o_grp").agg(F.count("*").alias("hits"), F.min(F.least("least", "o_least")).alias("least"))
+    enough = F.col("hits") >= F.greatest(F.lit(1), F.floor(F.col("least") / NEEDED))
+    met = common.written(hits.filter(enough).select(F.col("grp").alias("a"), F.col("o_grp").alias("b")), "jaccard-met")
+    # of two classes the one in the smaller component asks, so a large family isn't asked about itself by its members
+    sizes = roots.groupBy(F.col("component").alias("s_root")).agg((F.count("*") + 1).alias("size"))
+    ranked = groups.join(roots, F.col("rep") == F.col("node"), "left").select("grp", "rep", "n", F.coalesce("component", "rep").alias("root"))
+    ranked = ranked.join(sizes, F.col("root") == F.col("s_root"), "left").select("grp", "rep", "n", F.struct(F.coalesce("size", F.lit(1).cast("long")).alias("size"), "root").alias("rank"))
+    ranked = common.written(ranked, "jaccard-ranked")
+    tops = ranked.groupBy(F.col("grp").alias("t_grp")).agg(F.max("rank").alias("top"), F.min("n").alias("t_least"), F.max("n").alias("t_most"))
+    ways = met.select(F.col("a").alias("asking"), F.col("b").alias("asked")).unionByName(met.select(F.col("b").alias("asking"), F.col("a").alias("asked")))
+    ways = common.written(ways.join(tops, F.col("asked") == F.col("t_grp")).select("asking", "asked", "top", "t_least", "t_most"), "jaccard-ways")
+    fits = (F.col("t_most") * 100 >= F.col("n") * threshold) & (F.col("n") * 100 >= F.col("t_least") * threshold)
+    asks = ways.join(ranked, (F.col("grp") == F.col("asking")) & (F.col("rank") < F.col("top")) & fits)
+    pairs = common.written(asks.select("rep", F.col("asked").alias("grp")), "jaccard-pairs")
     if not pairs.isEmpty():
         edges = edges.unionByName(open_groups(pairs, groups, roots, docs, id_col, text_col, threshold))
         roots = components(edges)
