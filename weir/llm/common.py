@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 #: Records in one Arrow batch sent to Python. Long texts make batches heavy, so they hold few rows.
 ARROW_ROWS = 256
 #: Bytes of text hashed in one go; bounds the memory of the numpy temporaries.
-SEGMENT_BYTES = 1 << 21
+SEGMENT_BYTES = 1 << 19
 #: Bytes of text that are tokenised in one go.
-GATHERED_BYTES = 8 << 20
+GATHERED_BYTES = 6 << 20
 
 _workspaces: dict[str, str] = {}
 
