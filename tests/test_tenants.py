@@ -141,3 +141,13 @@ def test_fidelity(spark):
     assert fidelity.si_sdr(df).first().si_sdr_db == pytest.approx(want, rel=1e-6)
     flat = spark.createDataFrame([(0.0, 0.0), (3.0, 1.0)], "a double, b double").select(fidelity.duration_error(F.col("a"), F.col("b")).alias("e"))
     assert [r.e for r in flat.collect()] == [0.0, 1.0]
+
+
+def test_published_versions(spark, tmp_path):
+    folder = "file://" + str(tmp_path / "slots")
+    assert T.published(spark, folder) == (0, None)
+    one = spark.createDataFrame([("a", 1)], "tenant_id string, version long")
+    two = spark.createDataFrame([("a", 2), ("b", 1)], "tenant_id string, version long")
+    assert T.publish(one, folder, 0) and not T.publish(two, folder, 0) and T.publish(two, folder, 1)
+    version, slots = T.published(spark, folder)
+    assert version == 2 and slots.count() == 2

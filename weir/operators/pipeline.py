@@ -6,6 +6,7 @@ the bytes go to Python once, and only for rows that no gate has decided.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -101,7 +102,7 @@ def defend(objects: DataFrame, policies: DataFrame, rules: Sequence[Rule] = (),
     d = d.withColumn("sha256", F.when(ok, digest))
     d = d.withColumn("stages", F.when(ok, _stages(d, p, kind, by_name, by_mime, declared, name, r, scanned, dry)))
     released = F.coalesce((F.col("verdict") == "clean") & (F.col("out_size") > 0), F.lit(False))
-    return d.select(
+    results = d.select(
         "object_id",
         "tenant_id",
         "source",
@@ -118,6 +119,8 @@ def defend(objects: DataFrame, policies: DataFrame, rules: Sequence[Rule] = (),
         F.when(released, out).otherwise(F.when(ok, F.lit(bytearray(b"")))).alias("output"),
         F.when(ok, F.when(F.col("stopped"), "pre_scan_blocked").otherwise(F.col("kind"))).alias("parser_used"),
     )
+    # The metrics also keep filters on the result above the chain of expressions, which they would multiply when pushed down.
+    return observed(results, f"weir-{uuid.uuid4().hex}")
 
 
 def _stages(d: DataFrame, p: Column, kind: Column, by_name: Column, by_mime: Column, declared: Column, name: Column, r: Column, scanned: Column, dry: Column) -> Column:
@@ -148,6 +151,29 @@ def _stages(d: DataFrame, p: Column, kind: Column, by_name: Column, by_mime: Col
     return F.when(F.col("stopped"), early).otherwise(full)
 
 
+def outgoing(objects: DataFrame) -> DataFrame:
+    """Objects that a client sends."""
+    return objects.withColumn("source", F.lit("outgoing"))
+
+
+def incoming(objects: DataFrame) -> DataFrame:
+    """Objects that a server takes in."""
+    return objects.withColumn("source", F.lit("incoming"))
+
+
+def defend_for_tenants(objects: DataFrame, slots: DataFrame, policies: DataFrame, rules: Sequence[Rule] = (), fallback: str = "standard") -> DataFrame:
+    """Every object under the active policy of its tenant, else under the fallback."""
+    from .tenants import resolve
+
+    return defend(resolve(objects, slots, fallback), policies, rules, fallback)
+
+
+def observed(results: DataFrame, name: str = "weir") -> DataFrame:
+    """results with metrics that a query listener sees: objects, errors and verdicts."""
+    counts = [F.count_if(F.col("verdict") == v).alias(v) for v in ("clean", "suspicious", "blocked")]
+    return results.observe(name, F.count("*").alias("objects"), F.count_if(F.col("error_kind").isNotNull()).alias("errors"), *counts)
+
+
 def audit_events(results: DataFrame) -> DataFrame:
     """One event for each completed object: neither errors nor objects stopped by the pre-scan have one."""
     done = results.filter(F.col("error_kind").isNull() & (F.col("parser_used") != "pre_scan_blocked"))
@@ -157,4 +183,4 @@ def audit_events(results: DataFrame) -> DataFrame:
 def quarantine(results: DataFrame) -> DataFrame:
     """The envelope of every blocked object."""
     blocked = results.filter(F.col("verdict") == "blocked")
-    return blocked.select("object_id", G.first_block_reason(F.col("alerts")).alias("reason"), "sha256", F.col("input_bytes").alias("original_size"), F.col("output_bytes").alias("output_size"), F.transform("stages", lambda s: s["detail"]).alias("stage_details"))
+    return blocked.select("object_id", "parser_used", G.first_block_reason(F.col("alerts")).alias("reason"), "sha256", F.col("input_bytes").alias("original_size"), F.col("output_bytes").alias("output_size"), F.transform("stages", lambda s: s["detail"]).alias("stage_details"))

@@ -200,3 +200,45 @@ def replay(events: Iterable[Mapping[str, Any]]) -> Iterator[tuple[str, Slot]]:
     for e in events:
         slot = slots.setdefault(e["tenant_id"], Slot())
         yield apply(slot, e["kind"], e["version"], e["payload"], e.get("provenance")), slot
+
+
+def export(folded: DataFrame) -> DataFrame:
+    """Every tenant's slot with the provenance that holds: the limits' own while there are limits, else the policy's."""
+    return latest(folded).select("tenant_id", "version", "policy", "limits", "provenance")
+
+
+def publish(slots: DataFrame, folder: str, expected: int) -> bool:
+    """Writes the slot table as version expected + 1 if no one else has; false if the version is taken.
+
+    The table is written aside; making the version's mark, which can't exist before, is the swap.
+    """
+    import uuid
+
+    spark = slots.sparkSession
+    passing = f"{folder}/data-{uuid.uuid4().hex}"
+    slots.write.parquet(passing)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(fs_path(f"{folder}/version-{expected + 1:012d}"), False)
+    except Exception as e:  # noqa: BLE001  any failure to make the mark leaves the published version as it is
+        fs.delete(fs_path(passing), True)
+        if "exist" in str(e).lower():
+            return False
+        raise
+    out.write(bytearray(passing.rsplit("/", 1)[1].encode()))
+    out.close()
+    return True
+
+
+def published(spark: Any, folder: str) -> tuple[int, DataFrame | None]:
+    """The last published version and its slots; 0 and None before any."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(fs_path(folder)):
+        return 0, None
+    marks = sorted(s.getPath().getName() for s in fs.listStatus(fs_path(folder)) if s.getPath().getName().startswith("version-"))
+    if not marks:
+        return 0, None
+    name = spark.read.text(f"{folder}/{marks[-1]}", wholetext=True).first()[0]
+    return int(marks[-1].split("-")[1]), spark.read.parquet(f"{folder}/{name}")

@@ -665,3 +665,49 @@ def evidence_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = F.explode(F.array_repeat(F.lit(1), F.when(k == 3, 0).when(k == 1, 2).otherwise(1)))
     evidence = n.select(F.col("n_name").alias("case_id"), (k != 2).alias("passed"), copies.alias("copy")).drop("copy")
     return fidelity.evidence_problems(evidence, n.select(F.col("n_name").alias("case_id")))
+
+
+# --- more of the pipeline's surface ---------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT p_partkey, p_size % 6 <> 0 AND p_size % 7 <> 0 AND p_size % 5 <> 0 AS valid,
+ CASE WHEN p_size % 6 = 0 THEN 'unknown document version' WHEN p_size % 7 = 0 THEN 'max_input_size_bytes must be > 0' WHEN p_size % 5 = 0 THEN 'profile cannot be empty' END AS problem FROM part"""
+)
+def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    text = F.concat(
+        F.lit('{"version":"'), F.when(size % 6 == 0, "v0").otherwise("v1"), F.lit('","config":{"profile":"'), F.when(size % 5 == 0, "").otherwise(F.col("p_brand")),
+        F.lit('","max_input_size_bytes":'), F.when(size % 7 == 0, "0").otherwise("5"), F.lit(',"max_output_size_bytes":7,"max_output_expansion_ratio":2.5,"blocked_extensions":["exe"]}}'),
+    )
+    return policy.policy_documents(table(spark, sf_dir, "part").select("p_partkey", text.alias("document"))).select("p_partkey", "valid", "problem")
+
+
+@query(with_objects("""SELECT object_id, CASE WHEN stopped THEN 'signature_match' ELSE 'reconstruction_level_not_met' END AS reason, CASE WHEN stopped THEN sha256(payload) END AS input_sha256,
+ octet_length(payload)::BIGINT AS original_size FROM decided WHERE error IS NULL""", DETECTED_SQL, _FULL_SQL.replace("decided AS", "decided0 AS") + ", decided AS (SELECT * FROM decided0 WHERE stopped OR kind = 'other')"))
+def quarantine_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pipeline.defend(derived_objects(spark, sf_dir), policy.policy_table(spark)).filter("parser_used IN ('pre_scan_blocked', 'other')")
+    stopped = F.col("parser_used") == "pre_scan_blocked"
+    return pipeline.quarantine(out).select("object_id", "reason", F.when(stopped, F.col("sha256")).alias("input_sha256"), "original_size")
+
+
+@query(with_objects("""SELECT policy_id, coalesce(error, 'none') AS error, count(*)::BIGINT AS objects FROM (
+  SELECT CASE tenant_id WHEN 't1' THEN 'strict' ELSE 'standard' END AS policy_id, coalesce(early_error, CASE WHEN len(hits) > 0 THEN NULL WHEN apart OR disagree THEN 'FileTypeMismatch'
+    WHEN tenant_id = 't1' AND kind IN ('animated_image', 'other') THEN 'UnsupportedReconstructionLevel' WHEN tenant_id = 't1' AND kind IN ('image', 'gif', 'audio', 'video') THEN 'decoder' END) AS error FROM early) GROUP BY 1, 2""", DETECTED_SQL, _FULL_SQL.split("), decided AS")[0] + ")"))
+def defend_for_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots = spark.createDataFrame([("t1", 3, "strict"), ("t5", 9, None)], "tenant_id string, version long, policy string")
+    objects = derived_objects(spark, sf_dir)
+    out = pipeline.defend_for_tenants(objects, slots, policy.policy_table(spark))
+    kind = F.when(F.col("error_kind").isin("Image", "Gif", "Audio", "Video", "Io"), "decoder").otherwise(F.coalesce("error_kind", F.lit("none")))
+    return out.select(F.when(F.col("tenant_id") == "t1", "strict").otherwise("standard").alias("policy_id"), kind.alias("error")).groupBy("policy_id", "error").agg(F.count("*").alias("objects"))
+
+
+_MIME_ROWS = sorted({m for ms in names.EXTENSION_OF_MIME.values() for m in ms} | {"text/plain", "image/apng"})
+
+
+@query(f"SELECT event_id, {_case('mime', names.EXTENSION_OF_MIME)} AS extension FROM (SELECT event_id, ([{', '.join(repr(m) for m in _MIME_ROWS)}])[event_id % {len(_MIME_ROWS)} + 1] AS mime FROM events)")
+def output_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weir.sources.sinks import output_extension as extension_of
+
+    mime = F.element_at(F.array(*[F.lit(m) for m in _MIME_ROWS]), (F.col("event_id") % len(_MIME_ROWS) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", extension_of(mime).alias("extension"))
