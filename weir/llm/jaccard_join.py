@@ -9,7 +9,7 @@ class, of which only the smallest document goes on. The rest:
 2. Bridges. For other seeds the same is done with one class of every local component and hash, so that a large family
    of near copies is joined with few comparisons.
 3. The matrix. With tokens in a global order (rare first), two linked classes share at least k tokens among their first
-   n - ceil(threshold * n) + k, with k a twentieth of the smaller set. The rows of the token-group matrix that matter are
+   n - ceil(threshold * n) + k, with k a twelfth of the smaller set. The rows of the token-group matrix that matter are
    therefore the tokens in these prefixes that several components have. Two groups meet if their rows share k tokens
    from members of fitting sizes in different components. For each class of the one and the other group, the group's
    whole token union bounds the overlap that any member can have with the class; only where the bound reaches what the
@@ -47,7 +47,7 @@ FREQUENT, LEAST_COUNT = 1_000_000, 2
 #: Up to this many ids (8 bytes each) are broadcast to pick documents; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: One in so many tokens of a set has to be shared in the prefixes (at least one).
-NEEDED = 20
+NEEDED = 12
 #: Classes that ask one group in one task.
 QUERIES = 512
 _SEED = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377, 0xBE5466CF34E90C6C)]
@@ -108,7 +108,7 @@ def frequent_tokens(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
             kept, counts = kept[most], counts[most]
         yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64), pa.int64()), pa.array(counts, pa.int64())], ["token", "n"])
 
-    found = docs.select(text_col).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > LEAST_COUNT).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
+    found = docs.select(text_col).mapInArrow(common.lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > LEAST_COUNT).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
     ids, n = found["token"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     ranks = np.empty(len(ids), np.int64)
     ranks[np.lexsort((ids, n))] = np.arange(len(ids))
@@ -149,7 +149,7 @@ def signed_sets(docs: DataFrame, id_col: str, text_col: str, threshold: int) ->
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id long, n long, d1 long, d2 long, {', '.join(f's{k} long' for k in range(SEEDS))}, prefix array<long>")
+    return source.mapInArrow(common.lean(run), f"id long, n long, d1 long, d2 long, {', '.join(f's{k} long' for k in range(SEEDS))}, prefix array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -164,7 +164,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
             sets = [s.tobytes() for s in common.shingle_sets(batch.column(1), WIDTH)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "tokens"])
 
-    return rows.mapInArrow(run, "rep long, tokens binary")
+    return rows.mapInArrow(common.lean(run), "rep long, tokens binary")
 
 
 def cut_groups(keyed: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def cut_groups(keyed: DataFrame) -> DataFrame:
     order = ["lane", "key", "sub", "rep"]
     parts = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = keyed.select("lane", "key", "sub", "rep", "n").repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return common.written(dealt.mapInArrow(run, "grp long, rep long, n long"), "jaccard-groups")
+    return common.written(dealt.mapInArrow(common.lean(run), "grp long, rep long, n long"), "jaccard-groups")
 
 
 def _local_components(sets: list[np.ndarray], threshold: int) -> list[int]:
@@ -239,7 +239,7 @@ def group_edges(groups: DataFrame, docs: DataFrame, id_col: str, text_col: str,
         if len(sets) > 1:
             yield close()
 
-    return common.written(dealt.mapInArrow(run, "a long, b long"), "jaccard-edges")
+    return common.written(dealt.mapInArrow(common.lean(run), "a long, b long"), "jaccard-edges")
 
 
 def shared_only(postings: DataFrame, by: str) -> DataFrame:
@@ -277,7 +277,7 @@ def shared_only(postings: DataFrame, by: str) -> DataFrame:
             held = [] if mixed else [batch.slice(int(starts[-1]))]
 
     dealt = postings.repartition(names[0]).sortWithinPartitions(names[0], by)
-    return dealt.mapInArrow(run, spelled)
+    return dealt.mapInArrow(common.lean(run), spelled)
 
 
 def open_groups(pairs: DataFrame, groups: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
@@ -329,7 +329,7 @@ def open_groups(pairs: DataFrame, groups: DataFrame, roots: DataFrame, docs: Dat
                         b.append(reps[m])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return common.written(dealt.mapInArrow(run, "a long, b long"), "jaccard-edges")
+    return common.written(dealt.mapInArrow(common.lean(run), "a long, b long"), "jaccard-edges")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
