@@ -176,7 +176,7 @@ def _blocks(rows: DataFrame, dim: int, size: int, quantiser: Quantiser | None, n
             yield close()
 
     dealt = rows.select("id", "v").repartition(max(1, -(-rows.count() // size)))
-    return common.written(dealt.mapInArrow(run, "part long, short boolean, ids binary, vectors binary, codes binary"), name)
+    return common.written(dealt.mapInArrow(common.lean(run), "part long, short boolean, ids binary, vectors binary, codes binary"), name)
 
 
 def build_index(rows: DataFrame, dim: int, quantiser: Quantiser) -> DataFrame:
@@ -242,7 +242,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RE
                 hits = pa.array([[{"score": -s, "id": i} for i, s in zip(a.tolist(), b.tolist())] for a, b in found], pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array([batch.column("part")[r].as_py() % LANES] * len(q_ids), pa.int64()), hits], ["query_id", "lane", "hits"])
 
-    found = met.mapInArrow(run, "query_id long, lane long, hits array<struct<score double, id long>>")
+    found = met.mapInArrow(common.lean(run), "query_id long, lane long, hits array<struct<score double, id long>>")
     for keys in (["query_id", "lane"], ["query_id"]):  # in two steps, so that no list holds a query's hits of all blocks
         found = found.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))
     return found.select("query_id", F.posexplode("hits").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.id").alias(id_col), (-F.col("hit.score")).alias("score"))

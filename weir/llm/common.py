@@ -91,6 +91,22 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - lo
 
 
+def lean(run):
+    """run, giving what its worker has freed back to the system at the end of a task: workers live on between tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            import ctypes
+
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
+
+
 def gathered(batches: Iterator[pa.RecordBatch], text_bytes: int = GATHERED_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches joined up to about so many bytes, for work that gains from many rows at once."""
     held, size = [], 0

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SCALE = 8
+#: Up to so many bounds are compared one by one in the plan; a longer list is searched in Python.
+PLAIN_BOUNDS = 256
 _LIMIT = np.uint64((1 << 64) // SCALE)
 _SHIFT = np.uint64(64 - 32 - (SCALE.bit_length() - 1))
 
@@ -76,11 +78,14 @@ def fingerprints(docs: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), text_c
             made = [fingerprint(t, s) for t, s in zip(texts, sketches(texts))]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(id_cols))], pa.array(made, pa.string())], [*[f"k{i}" for i in range(len(id_cols))], "fingerprint"])
 
-    return rows.mapInArrow(run, f"{keys}, fingerprint string").toDF(*id_cols, "fingerprint")
+    return rows.mapInArrow(common.lean(run), f"{keys}, fingerprint string").toDF(*id_cols, "fingerprint")
 
 
 def range_bucket(column: Column, bounds: list[int]) -> Column:
     """The number of bounds (ascending) that are not above the value; -1 for null."""
+    if len(bounds) <= PLAIN_BOUNDS:
+        below = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= column)) if bounds else F.lit(0)
+        return F.when(column.isNull(), -1).otherwise(below).cast("long")
     edges = np.array(bounds, np.int64)
 
     @F.pandas_udf("long")
@@ -142,7 +147,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 )
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), _TYPES)], _NAMES)
 
-    return dealt.mapInArrow(run, _SCHEMA).withColumnRenamed("id", id_col)
+    return dealt.mapInArrow(common.lean(run), _SCHEMA).withColumnRenamed("id", id_col)
 
 
 _NAMES = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "held_edited", "near_next", "held_next"]

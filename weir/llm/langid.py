@@ -210,6 +210,6 @@ def identify(docs: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id"
                 [*[f"k{i}" for i in range(len(id_cols))], "lang_pred", "score", "rejected"],
             )
 
-    out = rows.mapInArrow(run, f"{keys}, lang_pred string, score double, rejected boolean")
+    out = rows.mapInArrow(common.lean(run), f"{keys}, lang_pred string, score double, rejected boolean")
     return out.toDF(*id_cols, "lang_pred", "score", "rejected")
 

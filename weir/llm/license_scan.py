@@ -206,4 +206,4 @@ def scan_licenses(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE, templ
             span = pa.list_(pa.struct([("label", pa.string()), ("is_base", pa.bool_()), ("first", pa.int64()), ("after", pa.int64())]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(scores, pa.float64())], ["id", "n_words", "matches", "score"])
 
-    return rows.mapInArrow(run, f"id {id_type}, {SCHEMA}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(common.lean(run), f"id {id_type}, {SCHEMA}").withColumnRenamed("id", id_col)

@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
             arrays = [batch.column(0).take(pa.array(which)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), common.binary_rows(ids.astype("<u4"), bounds)]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "piece", "start", "length", "ids"])
 
-    return rows.mapInArrow(run, f"id {id_type}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(common.lean(run), f"id {id_type}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
 
 
 class Bins:
@@ -108,4 +108,4 @@ def pack(cut: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, per_g
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return dealt.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return dealt.mapInArrow(common.lean(run), f"{schema}, sequence_id long, offset long")

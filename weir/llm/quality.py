@@ -217,7 +217,7 @@ def _featured(docs: DataFrame, id_cols: tuple[str, ...], text_col: str, forest)
             made = pa.array(list(x), pa.list_(pa.float64())) if forest is None else pa.array(forest.value.score(x), pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(id_cols))], made], [*[f"k{i}" for i in range(len(id_cols))], "made"])
 
-    return rows.mapInArrow(run, f"{keys}, made {'array<double>' if forest is None else 'double'}").toDF(*id_cols, "features" if forest is None else "score")
+    return rows.mapInArrow(common.lean(run), f"{keys}, made {'array<double>' if forest is None else 'double'}").toDF(*id_cols, "features" if forest is None else "score")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Forest:

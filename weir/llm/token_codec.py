@@ -224,7 +224,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID
             ids, at = encoder.encode_rows(batch.column(1), end_id)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), common.binary_rows(ids.astype(width), at)], ["doc_id", "n_tokens", "ids"])
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return rows.mapInArrow(common.lean(run), "doc_id long, n_tokens long, ids binary")
 
 
 def global_counts(tokenised: DataFrame, vocabulary: int, width: int) -> np.ndarray:
@@ -240,7 +240,7 @@ def global_counts(tokenised: DataFrame, vocabulary: int, width: int) -> np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
     counts = np.zeros(vocabulary, np.int64)
-    for r in tokenised.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in tokenised.select("ids").mapInArrow(common.lean(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     return counts
 
@@ -300,7 +300,7 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str | None = None, end
                 count += n
         yield from close()
 
-    return common.written(dealt.mapInArrow(run, "path string, first_token long, n_tokens long, n_docs long, bytes long"), "token-manifest")
+    return common.written(dealt.mapInArrow(common.lean(run), "path string, first_token long, n_tokens long, n_docs long, bytes long"), "token-manifest")
 
 
 def read_corpus(spark, folder: str) -> DataFrame:
@@ -321,4 +321,4 @@ def read_corpus(spark, folder: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.mapInArrow(common.lean(run), "doc_id long, start long, n_tokens long, ids binary")

@@ -28,8 +28,8 @@ _FINER = re.compile(f"(?<=[{_LETTERS}])(?=[!-&(-/:-@\\[-`{{-~])|(?<=[!-&(-/:-@\\
 _WORD = re.compile(f" ?[{_LETTERS}]+")
 #: Punctuation that never shares a token with letters before it.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Entries of one generation of the cache, some 80 MB; there are two at most.
-GENERATION = 400_000
+#: Entries of one generation of the cache, some 50 MB; there are two at most.
+GENERATION = 250_000
 
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]
 
@@ -112,7 +112,7 @@ class ChunkEncoder:
         rows = pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
         at = rows.offsets.to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(rows.values.slice(at[0], at[-1] - at[0]))
-        which, at = coded.indices.to_numpy().astype(np.int64), at - at[0]
+        which, at = coded.indices.to_numpy(), at - at[0]
         chunks = coded.dictionary
         raw, where = utf8(chunks)
         # a chunk that doesn't end safely may not be cut off there, unless its text ends with it
@@ -135,13 +135,15 @@ class ChunkEncoder:
         for k, x in enumerate(got):
             if x is None:
                 got[k] = self._learn(names[k]) if wanted[k] and names[k] else b""
-        sizes = np.fromiter(map(len, got), np.int64, len(got)) >> 2
-        values, begin = np.frombuffer(b"".join(got), "<u4"), np.cumsum(sizes) - sizes
+        # a batch has far fewer than 2^31 ids unless one text alone has
+        number = np.int32 if int(at[-1]) + len(texts) < 1 << 26 and texts.nbytes < 1 << 30 else np.int64
+        sizes = np.fromiter(map(len, got), number, len(got)) >> 2
+        values, begin = np.frombuffer(b"".join(got), "<u4"), np.cumsum(sizes, dtype=number) - sizes
         each = sizes[which]
-        stop = np.cumsum(each)
+        stop = np.cumsum(each, dtype=number)
         total = int(stop[-1]) if len(stop) else 0
-        ids = values[np.repeat(begin[which] - (stop - each), each) + np.arange(total)] if total else np.zeros(0, "<u4")
-        offsets = np.concatenate([[0], stop])[at]
+        ids = values[np.repeat(begin[which] - (stop - each), each) + np.arange(total, dtype=number)] if total else np.zeros(0, "<u4")
+        offsets = np.concatenate([[0], stop]).astype(np.int64)[at]
         if slow:
             parts = [np.frombuffer(self._whole(texts[k].as_py()), "<u4") if k in slow else ids[offsets[k] : offsets[k + 1]] for k in range(len(texts))]
             ids = np.concatenate([np.zeros(0, "<u4"), *parts])
