@@ -153,18 +153,18 @@ def signed_sets(docs: DataFrame, id_col: str, text_col: str, threshold: int) ->
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rep, tokens (bytes, ascending) of the documents named in ids (rep), from their whole texts."""
-    chosen = ids.select(F.col("rep").alias("wanted")).distinct()
+    """rep, carried, tokens (bytes, ascending) of the documents named in ids (rep, carried: a list of longs), from their whole texts."""
+    chosen = ids.select(F.col("rep").alias("wanted"), "carried")
     if chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
-    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(chosen, F.col("rep") == F.col("wanted"), "left_semi")
+    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(chosen, F.col("rep") == F.col("wanted")).select("rep", "carried", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for s in common.shingle_sets(batch.column(1), WIDTH)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "tokens"])
+            sets = [s.tobytes() for s in common.shingle_sets(batch.column(2), WIDTH)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["rep", "carried", "tokens"])
 
-    return rows.mapInArrow(common.lean(run), "rep long, tokens binary")
+    return rows.mapInArrow(common.lean(run), "rep long, carried array<long>, tokens binary")
 
 
 def cut_groups(keyed: DataFrame) -> DataFrame:
@@ -217,7 +217,9 @@ def group_edges(groups: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     """Exact links within groups, as edges (a, b) from each class to the first one of its local component. Written."""
     several = groups.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1").select("grp")
     groups = common.written(groups.join(several, "grp").select("grp", "rep"), "jaccard-several")
-    filled = groups.join(full_sets(docs, groups, id_col, text_col), "rep").select("grp", "rep", "tokens")
+    # a class is in one group of a lane, so its list of groups has SEEDS entries at most
+    homes = common.written(groups.groupBy("rep").agg(F.collect_list("grp").alias("carried")), "jaccard-homes")
+    filled = full_sets(docs, homes, id_col, text_col).select(F.explode("carried").alias("grp"), "rep", "tokens")
     dealt = filled.repartition("grp").sortWithinPartitions("grp", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +290,8 @@ def open_groups(pairs: DataFrame, groups: DataFrame, roots: DataFrame, docs: Dat
     held = groups.select("grp", "rep").join(asked, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "rep")
     rows = common.written(asks.unionByName(held), "jaccard-asks")
     named = rows.join(roots, F.col("rep") == F.col("node"), "left").select("grp", "part", "kind", "rep", F.coalesce("component", "rep").alias("root"))
-    filled = named.join(full_sets(docs, rows, id_col, text_col), "rep").select("grp", "part", "kind", "rep", "root", "tokens")
+    wanted = common.written(rows.select("rep").distinct().withColumn("carried", F.array().cast("array<long>")), "jaccard-wanted")
+    filled = named.join(full_sets(docs, wanted, id_col, text_col), "rep").select("grp", "part", "kind", "rep", "root", "tokens")
     dealt = filled.repartition("grp", "part").sortWithinPartitions("grp", "part", "kind", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,13 +360,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # 3. the token-group matrix: tokens of prefixes that several components have
     one = signed.join(classes.select("n", "d1", "d2", F.col("rep").alias("id")), ["n", "d1", "d2", "id"], "left_semi")
-    postings = one.select(F.explode("prefix").alias("token"), F.col("id").alias("rep"), F.col("n").cast("int").alias("n"))
-    several = common.written(shared_only(postings, "rep"), "jaccard-postings")
-    named = several.join(roots, F.col("rep") == F.col("node"), "left").select("token", F.coalesce("component", "rep").alias("root"), "rep", "n")
+    postings = one.select(F.explode("prefix").alias("token"), F.col("id").alias("rep"))
+    several = shared_only(postings, "rep")
+    named = several.join(roots, F.col("rep") == F.col("node"), "left").select("token", F.coalesce("component", "rep").alias("root"), "rep")
     named = common.written(named, "jaccard-named")
     spread = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
     crossing = named.join(common.written(spread, "jaccard-spread"), "token", "left_semi")
-    placed = common.written(crossing.join(groups.select(F.col("rep").alias("g_rep"), "grp"), F.col("rep") == F.col("g_rep")).select("token", "root", "rep", "n", "grp"), "jaccard-placed")
+    placed = crossing.join(groups.select(F.col("rep").alias("g_rep"), "grp", "n"), F.col("rep") == F.col("g_rep")).select("token", "root", "n", "grp")
     cells = placed.groupBy("token", "grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
     cells = common.written(cells, "jaccard-matrix")
     other = cells.select(*[F.col(c).alias(f"o_{c}") for c in cells.columns])
