@@ -6,6 +6,7 @@ Every text is read whole. Null texts count as empty.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ ARROW_ROWS = 256
 #: Bytes of text hashed in one go; bounds the memory of the numpy temporaries.
 SEGMENT_BYTES = 1 << 19
 #: Bytes of text that are tokenised in one go.
-GATHERED_BYTES = 6 << 20
+GATHERED_BYTES = 4 << 20
 
 _workspaces: dict[str, str] = {}
 
@@ -91,18 +92,21 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - lo
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; allocators keep it otherwise, and workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def lean(run):
-    """run, giving what its worker has freed back to the system at the end of a task: workers live on between tasks."""
+    """run, with a trim at the end of a task."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            import ctypes
-
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        trim()
 
     return wrapped
 
@@ -117,6 +121,7 @@ def gathered(batches: Iterator[pa.RecordBatch], text_bytes: int = GATHERED_BYTES
         if size >= text_bytes:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held, size = [], 0
+            trim()
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 

@@ -28,8 +28,8 @@ _FINER = re.compile(f"(?<=[{_LETTERS}])(?=[!-&(-/:-@\\[-`{{-~])|(?<=[!-&(-/:-@\\
 _WORD = re.compile(f" ?[{_LETTERS}]+")
 #: Punctuation that never shares a token with letters before it.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Entries of one generation of the cache, some 50 MB; there are two at most.
-GENERATION = 250_000
+#: Entries of one generation of the cache, some 40 MB; there are two at most.
+GENERATION = 200_000
 
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]
 
