@@ -42,6 +42,8 @@ FILE_TOKENS = 1 << 20
 #: Ids in one range of document ids, which one task sorts and writes; and the most ranges.
 RANGE_TOKENS, MAX_RANGES = 6_000_000, 1 << 16
 END_ID = 0
+#: A larger cache and larger batches than elsewhere, some 150 MB a worker.
+GENERATION, BATCH_BYTES = 400_000, 12 << 20
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -219,8 +221,8 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.ChunkEncoder.of(path)
-        for batch in common.gathered(batches):
+        encoder = tokens.ChunkEncoder.of(path, GENERATION)
+        for batch in common.gathered(batches, BATCH_BYTES):
             ids, at = encoder.encode_rows(batch.column(1), end_id)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), common.binary_rows(ids.astype(width), at)], ["doc_id", "n_tokens", "ids"])
 

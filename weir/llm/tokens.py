@@ -50,16 +50,17 @@ def _byte_letters() -> dict[int, str]:
 class ChunkEncoder:
     """encode(texts): for each text the bytes of its ids as little-endian unsigned 32-bit integers."""
 
-    _of: dict[str, ChunkEncoder] = {}
+    _of: dict[tuple[str, int | None], ChunkEncoder] = {}
 
     @classmethod
-    def of(cls, path: str) -> ChunkEncoder:
-        """One for each worker process and file."""
-        if path not in cls._of:
-            cls._of[path] = cls(path)
-        return cls._of[path]
-
-    def __init__(self, path: str):
+    def of(cls, path: str, generation: int | None = None) -> ChunkEncoder:
+        """One for each worker process, file and size of the cache."""
+        if (path, generation) not in cls._of:
+            cls._of[path, generation] = cls(path, generation)
+        return cls._of[path, generation]
+
+    def __init__(self, path: str, generation: int | None = None):
+        self.generation = generation
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -105,7 +106,7 @@ class ChunkEncoder:
 
         A batch's distinct chunks are found by the column library, looked up once, and laid out by gathers.
         """
-        if len(self.known) > GENERATION:
+        if len(self.known) > (self.generation or GENERATION):
             self.old, self.known = self.known, {}
         texts = texts.cast(pa.large_string()).fill_null("")
         # a blank before each word: split off with the word behind it
@@ -135,15 +136,13 @@ class ChunkEncoder:
         for k, x in enumerate(got):
             if x is None:
                 got[k] = self._learn(names[k]) if wanted[k] and names[k] else b""
-        # a batch has far fewer than 2^31 ids unless one text alone has
-        number = np.int32 if int(at[-1]) + len(texts) < 1 << 26 and texts.nbytes < 1 << 30 else np.int64
-        sizes = np.fromiter(map(len, got), number, len(got)) >> 2
-        values, begin = np.frombuffer(b"".join(got), "<u4"), np.cumsum(sizes, dtype=number) - sizes
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) >> 2
+        values, begin = np.frombuffer(b"".join(got), "<u4"), np.cumsum(sizes) - sizes
         each = sizes[which]
-        stop = np.cumsum(each, dtype=number)
+        stop = np.cumsum(each)
         total = int(stop[-1]) if len(stop) else 0
-        ids = values[np.repeat(begin[which] - (stop - each), each) + np.arange(total, dtype=number)] if total else np.zeros(0, "<u4")
-        offsets = np.concatenate([[0], stop]).astype(np.int64)[at]
+        ids = values[np.repeat(begin[which] - (stop - each), each) + np.arange(total)] if total else np.zeros(0, "<u4")
+        offsets = np.concatenate([[0], stop])[at]
         if slow:
             parts = [np.frombuffer(self._whole(texts[k].as_py()), "<u4") if k in slow else ids[offsets[k] : offsets[k + 1]] for k in range(len(texts))]
             ids = np.concatenate([np.zeros(0, "<u4"), *parts])
