@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from weir.functions import binary, names, sniff
 from weir.operators import fidelity, gates, pipeline, rebuild, signatures, tenants
@@ -486,17 +488,28 @@ def strip_webm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stripped(framed, "webm")
 
 
+@F.arrow_udf(BinaryType())
+def _ogg_paged(data: pa.Array) -> pa.Array:
+    """Each packet as pages of up to 255 segments of up to 255 bytes; the last segment is shorter than 255, so it may be empty."""
+    out = []
+    for d in data:
+        raw, pages = d.as_py(), []
+        for at in range(0, len(raw or b"") + 1, 255 * 255):
+            body = raw[at : at + 255 * 255] if raw else b""
+            lacing = (b"\xff" * (len(body) // 255) + bytes([len(body) % 255]))[:255]
+            pages.append(b"OggS\x00" + (b"\x01" if at else b"\x00") + b"\0" * 20 + bytes([len(lacing)]) + lacing + body)
+        out.append(None if raw is None else b"".join(pages))
+    return pa.array(out, pa.binary())
+
+
 @query()
 def strip_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages framed in Python (checksums), so the check is a count."""
+    """The whole text as one audio packet over as many pages as it needs. Pages are framed in Python, so SQL has no part in it."""
     from weir.operators.containers.audio import ogg_page
 
     head = b"OggS\x00\x02" + b"\0" * 16
     first, tags = ogg_page(head, b"OpusHead" + b"x" * 11), ogg_page(b"OggS\x00\x00" + b"\0" * 16, b"OpusTags" + b"c" * 200)
-    body = F.substring("t", 1, 200)
-    t = _texts(spark, sf_dir).withColumn("p", body)
-    page = F.concat(_b(b"OggS\x00\x00" + b"\0" * 20 + b"\x01"), F.unhex(F.lpad(F.hex(F.length("p")), 2, "0")), "p")
-    return _stripped(t.withColumn("f", F.concat(_b(first + tags), page)), "ogg")
+    return _stripped(_texts(spark, sf_dir).withColumn("f", F.concat(_b(first + tags), _ogg_paged(F.col("t")))), "ogg")
 
 
 # --- the whole pipeline ---------------------------------------------------------------------------------------------
