@@ -1,9 +1,13 @@
 """Registered queries against plain Python over small tables that hold the cases the given tables lack."""
 
 import hashlib
+import json
+
+import pytest
 
 from weir import queries
 from weir.operators.containers.audio import ogg_page
+from weir.sources.derived import EXTS, MAGIC
 
 
 def tables(spark, folder, **frames):
@@ -30,3 +34,46 @@ def test_strip_ogg_walks_whole_texts(spark, tmp_path):
             out += b"OggS\0" + bytes([a > 0]) + b"\0" * 20 + bytes([len(page), *map(len, page)]) + b"".join(page)
         assert (got[k].sha256, got[k].stripped, got[k].stripped_bytes) == (hashlib.sha256(out).hexdigest(), 0, 208), k
     assert got[100].sha256 != got[101].sha256
+
+
+def whole(ext, data):
+    """The probe row by row."""
+    if ext == "json":
+        try:
+            json.loads(data.decode(), parse_constant=lambda c: 1 / 0)
+        except (ValueError, ZeroDivisionError, RecursionError):
+            return False
+    if ext == "pdf":
+        return data[:5] == b"%PDF-" and b"%%EOF" in data
+    if ext == "xml":
+        try:
+            return data.decode().lstrip("\t\n\v\f\r \x85\xa0                　").startswith("<")
+        except UnicodeDecodeError:
+            return False
+    return data[:4] in (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08") if ext == "zip" else True
+
+
+TEXTS = ["", " ", "{}", '{"a": [1, 2.5e3, null, "\\u00e9"]}', '{"a": 1} x', "{'a': 1}", "[1,]", "NaN", "01", '"s"', "true", '{"a":1,"a":2}', "1 2", "[" * 50 + "]" * 50, "<a/>", "  \n<b>", " <c", "x<", "﻿<d", "prose %%EOF", "%PDF-1.4 x %%EOF", "%PDF-1.4", "PK\x05\x06rest", "words and words"]
+
+
+def test_structured_probe_judges_every_object(spark, tmp_path):
+    # ids in steps of 400 have the same extension and magic bytes, so every text meets all of them
+    rows = [(400 * k + d, t) for k, t in enumerate(TEXTS) for d in range(400)]
+    sf = tables(spark, tmp_path, documents=(rows, "doc_id long, text string"))
+    got = {r.object_id: r for r in queries.structured_probe_all(spark, sf).collect()}
+    want = {}
+    for d, text in rows:
+        name = EXTS[d % 20]
+        want[d] = whole(name.rsplit(".")[-1] or None, bytes.fromhex(MAGIC[d // 20 % 20]) + text.encode())
+    assert {k: r.whole for k, r in got.items()} == want
+    for ext in ("json", "xml", "pdf", "zip"):
+        assert {r.whole for r in got.values() if r.ext == ext} == {True, False}
+
+
+@pytest.mark.parametrize(
+    "text, fine",
+    [("1e400", False), ("-1e400", False), ("1" * 400, False), ("1e-400", True), ("Infinity", False), ('"\\ud800"', False), ('"\\ud83d\\ude00"', True), ('{"a":1,"a":"\\udc00"}', False)]
+    + [("[" * 127 + "]" * 127, True), ("[" * 128 + "]" * 128, False), ('["' + "[" * 200 + '"]', True), ("[" * 10**5, False), ("9" * 5000, False), ('"\t"', False), (b'"\xff"', False), (b"\xef\xbb\xbf{}", False)],
+)
+def test_json_edges(text, fine):
+    assert queries._json_whole(text.encode() if isinstance(text, str) else text) is fine

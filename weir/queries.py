@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import math
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, BooleanType
 
 from weir.functions import binary, names, sniff
 from weir.operators import fidelity, gates, pipeline, rebuild, signatures, tenants
@@ -317,6 +320,43 @@ def structured_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("object_id", gates.structured(F.col("ext"), F.col("payload")).alias("whole"))
 
 
+def _finite(number: str) -> float:
+    value = float(number)
+    if math.isinf(value) or not re.match("[-0-9]", number):  # out of range, or NaN and Infinity, which aren't JSON
+        raise ValueError(number)
+    return value
+
+
+def _json_whole(raw: bytes) -> bool:
+    """One JSON value and nothing else: UTF-8, finite numbers, paired surrogates, fewer than 128 levels; repeated keys are allowed."""
+    try:
+        text = raw.decode()
+        json.dumps(json.loads(text, parse_float=_finite, parse_int=_finite, parse_constant=_finite, object_pairs_hook=list), ensure_ascii=False).encode()
+    except (ValueError, RecursionError):
+        return False
+    level = deepest = 0
+    for mark in re.findall(r'"(?:[^"\\]|\\.)*"|([\[{\]}])', text):
+        level += (mark in ("[", "{")) - (mark in ("]", "}"))
+        deepest = max(deepest, level)
+    return deepest < 128
+
+
+@F.arrow_udf(BooleanType())
+def _json_probe(data: pa.Array) -> pa.Array:
+    return pa.array([None if d is None else _json_whole(d) for d in data.to_pylist()], pa.bool_())
+
+
+@query()
+def structured_probe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object's answer: of all extensions, and of bytes that aren't UTF-8, which the other engine can't decode.
+
+    JSON is judged strictly: try_parse_json of the gate takes single quotes and a second value, and refuses repeated keys.
+    """
+    is_json, data = F.coalesce(F.col("ext") == "json", F.lit(False)), F.col("payload")
+    judged = F.coalesce(_json_probe(F.when(is_json, data)), F.lit(False))
+    return _detected(spark, sf_dir).select("object_id", "ext", F.when(is_json, judged).otherwise(gates.structured(F.col("ext"), data)).alias("whole"))
+
+
 _MIMES = ["image/png", "IMAGE/JPEG", "video/mp4", "audio/raw", "application/x-sh", "text/plain", "image/apng"]
 _ALLOW = {"image": ["image/png", "image/jpeg", "image/webp"], "gif": ["image/gif"], "video": ["video/mp4", "video/raw"], "audio": ["audio/mpeg", "audio/aac", "audio/opus", "audio/flac", "audio/wav", "audio/raw"], "other": ["application/octet-stream"]}
 _ALLOW_SQL = " ".join(f"WHEN '{k}' THEN lower(mime) IN ({', '.join(repr(x) for x in v)})" for k, v in (_ALLOW | {"animated_image": _ALLOW["image"]}).items())
