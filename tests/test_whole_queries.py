@@ -6,8 +6,10 @@ import json
 import pytest
 
 from weir import queries
+from weir.operators import pipeline
 from weir.operators.containers.audio import ogg_page
-from weir.sources.derived import EXTS, MAGIC
+from weir.plans import policy
+from weir.sources.derived import EXTS, MAGIC, derived_objects
 
 
 def tables(spark, folder, **frames):
@@ -77,3 +79,20 @@ def test_structured_probe_judges_every_object(spark, tmp_path):
 )
 def test_json_edges(text, fine):
     assert queries._json_whole(text.encode() if isinstance(text, str) else text) is fine
+
+
+def test_every_blocked_object_has_an_envelope(spark, tmp_path):
+    # all pairs of extension and magic bytes, and their declared types
+    sf = tables(spark, tmp_path, documents=([(k, f"some words, {k}") for k in range(1200)], "doc_id long, text string"))
+    results = pipeline.defend(derived_objects(spark, sf), policy.policy_table(spark)).collect()
+    want = {}
+    for r in results:
+        if r.verdict == "blocked":
+            reason = next((a.code for a in r.alerts if a.severity == 2), "blocked")
+            want[r.object_id] = (r.parser_used, reason, r.sha256, r.input_bytes, r.output_bytes, [s.detail for s in r.stages])
+    got = queries.quarantine_all_envelopes(spark, sf).collect()
+    assert len(got) == len(want) and {r.object_id: tuple(r)[1:] for r in got} == want
+    assert {r.object_id for r in got} == {r.object_id for r in queries.pipeline_full(spark, sf).collect() if r.error_kind is None}
+    few = {r.object_id for r in queries.quarantine_envelopes(spark, sf).collect()}
+    assert few < set(want) and {want[k][0] for k in set(want) - few} >= {"image", "gif", "audio", "video", "animated_image"}
+    print(len(few), len(want), sorted({(w[0], w[1]) for w in want.values()}))

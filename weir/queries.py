@@ -744,6 +744,12 @@ def quarantine_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.quarantine(out).select("object_id", "reason", F.when(stopped, F.col("sha256")).alias("input_sha256"), "original_size")
 
 
+@query()
+def quarantine_all_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The envelope of every blocked object, of all kinds. Why a rebuild failed is for the decoders to say, so SQL has no part in it."""
+    return pipeline.quarantine(pipeline.defend(derived_objects(spark, sf_dir), policy.policy_table(spark)))
+
+
 @query(with_objects("""SELECT policy_id, coalesce(error, 'none') AS error, count(*)::BIGINT AS objects FROM (
   SELECT CASE tenant_id WHEN 't1' THEN 'strict' ELSE 'standard' END AS policy_id, coalesce(early_error, CASE WHEN len(hits) > 0 THEN NULL WHEN apart OR disagree THEN 'FileTypeMismatch'
     WHEN tenant_id = 't1' AND kind IN ('animated_image', 'other') THEN 'UnsupportedReconstructionLevel' WHEN tenant_id = 't1' AND kind IN ('image', 'gif', 'audio', 'video') THEN 'decoder' END) AS error FROM early) GROUP BY 1, 2""", DETECTED_SQL, _FULL_SQL.split("), decided AS")[0] + ")"))
