@@ -500,8 +500,7 @@ def strip_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_T + """SELECT doc_id, sha256(encode('fLaC') || unhex('80000022') || encode(repeat('s', 34)) || t) AS sha256, 2::BIGINT AS stripped, (4 + n + 4 + 3)::BIGINT AS stripped_bytes FROM t WHERE n > 0""")
 def strip_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _texts(spark, sf_dir).filter("n > 0")
-    framed = t.withColumn("f", F.concat(_b(b"fLaC\x00\x00\x00\x22" + b"s" * 34 + b"\x04"), _be(F.col("n"), 3), "t", _b(b"\x86\x00\x00\x03pic"), "t"))
+    framed = _texts(spark, sf_dir).withColumn("f", F.concat(_b(b"fLaC\x00\x00\x00\x22" + b"s" * 34 + b"\x04"), _be(F.col("n"), 3), "t", _b(b"\x86\x00\x00\x03pic"), "t"))
     return _stripped(framed, "flac")
 
 _BE4 = "unhex(lpad(hex({0}), 8, '0'))"
