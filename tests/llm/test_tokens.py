@@ -10,9 +10,7 @@ from weir.llm import common, packing, queries, token_codec, tokens
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.default_path())
 
 
 def ids_of(library, text):
@@ -33,6 +31,16 @@ def test_chunks_encode_like_whole_texts(library, monkeypatch):
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w.ids for w in want]
 
 
+def test_special_tokens_as_text_on_demand(library):
+    plain, other = tokens.ChunkEncoder(tokens.default_path()), tokens.ChunkEncoder(tokens.default_path(), special_as_text=True)
+    text = "a <|endoftext|> b<|endoftext|>"
+    strict = Tokenizer.from_file(tokens.default_path())
+    strict.encode_special_tokens = True
+    assert np.frombuffer(plain.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(other.encode([text])[0], "<u4").tolist() == strict.encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(plain.encode([text])[0], "<u4") and 50256 not in np.frombuffer(other.encode([text])[0], "<u4")
+
+
 def docs(spark, tmp_path, rows):
     path = str(tmp_path / "sf")
     spark.createDataFrame(rows, "doc_id long, text string, ids string, start int").repartition(3).write.parquet(f"{path}/documents.parquet")
@@ -136,6 +144,17 @@ def test_packing(spark, tmp_path, library):
     assert check_packing(rows, out, library) <= -(-total // 2048) + 1
 
 
+def test_packing_is_near_the_bound_on_documents(spark):
+    out = queries.op5_packing(spark, "/root/testdata/sf0.01").select("sequence_id", "length").toPandas()
+    assert out["sequence_id"].nunique() <= 1.005 * -(-int(out["length"].sum()) // 2048) + 1
+
+
+def test_packing_replaces_columns_of_its_own_names(spark):
+    cut = spark.createDataFrame([(1, 5, 7, "d", "t", "g"), (2, 3, 7, "d", "t", "g")], "doc_id long, length long, sequence_id long, deal string, turn string, offset string")
+    out = packing.pack(cut, length=8)
+    assert out.columns == ["doc_id", "length", "deal", "turn", "sequence_id", "offset"] and sorted(r.offset for r in out.collect()) == [0, 5]
+
+
 def test_bins_against_brute_force():
     rng = random.Random(8)
     for open_bins in (1, 3, 50):

@@ -406,11 +406,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """The rows of docs whose id is the smallest of its component, one row of each id; rows without an id stay."""
-    found = common.written(jaccard_components(docs, id_col, text_col, threshold).select(F.col(id_col).alias("id"), F.col("component_id").alias("root")), "jaccard-found")
+    names = docs.columns
+    plain = docs.toDF(*["id" if c == id_col else "text" if c == text_col else f"x{k}" for k, c in enumerate(names)])
+    found = common.written(jaccard_components(plain.select("id", "text"), "id", "text", threshold).select("id", F.col("component_id").alias("root")), "jaccard-found")
     gone = found.filter("id <> root").select(F.col("id").alias("gone")).distinct()
     if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
-    if found.filter("id = root").groupBy("id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter(F.col(id_col).isNull()).unionByName(kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    kept = plain.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    if not found.filter("id = root").groupBy("id").count().filter("count > 1").isEmpty():
+        kept = kept.filter(F.col("id").isNull()).unionByName(kept.filter(F.col("id").isNotNull()).dropDuplicates(["id"]))
+    return kept.toDF(*names)

@@ -6,10 +6,13 @@ bitset has a bit for each amount of free space that some open bin has, and the l
 gives the fullest bin that takes it. If none does, a bin is opened; if all are open then, the fullest closes first.
 
 Packing is dealt out in groups of about PIECES_PER_GROUP pieces by a hash, so that bins left open at a group's end
-weigh little; pieces of full length need no bin. Each row is placed as it comes, so memory is bounded by the open bins.
+weigh little; pieces of full length need no bin. A group's pieces come in rounds of about ROUND pieces, the longest of a
+round first, so that short ones fill what long ones left; bins stay open from round to round. Each row is placed as it
+comes, so memory is bounded by the open bins. Groups and rounds follow from the number of pieces: other rows may be
+packed beside one another at other sizes, but the same rules hold at every size.
 
 Defined results: a null text is the end id alone; repeated rows are packed each; an empty table gives no sequence;
-null ids are kept as they are; other columns don't take part.
+null ids are kept as they are; other columns don't take part, but columns named sequence_id or offset are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-LENGTH, OPEN_BINS, PIECES_PER_GROUP, END_ID = 2048, 8192, 400_000, 0
+LENGTH, OPEN_BINS, PIECES_PER_GROUP, ROUND, END_ID = 2048, 8192, 400_000, 8192, 0
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,19 +96,24 @@ def pack(cut: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, per_g
     cut is written to the shared folder first: its count decides the number of groups, and tokenising it twice would
     cost far more.
     """
-    cut = common.written(cut, "pieces")
-    groups = max(1, -(-cut.count() // per_group))
+    names = [c for c in cut.columns if c not in ("sequence_id", "offset")]
+    plain = [f"c{k}" for k in range(len(names))]
+    cut = common.written(cut.select(*[F.col(f"`{c}`") for c in names]).toDF(*plain), "pieces")
+    size = plain[names.index("length")]
+    n = cut.count()
+    groups = max(1, -(-n // per_group))
+    rounds = max(1, -(-n // (groups * ROUND)))
     order = [c for c, t in cut.dtypes if not t.startswith(("map", "array", "struct"))]
-    dealt = cut.withColumn("deal", F.xxhash64(*order)).repartition(groups, "deal").sortWithinPartitions("deal", *order).drop("deal")
-    names = cut.columns
+    deal = cut.withColumn("deal", F.xxhash64(*order)).withColumn("turn", F.pmod(F.shiftright("deal", 20), F.lit(rounds)))
+    dealt = deal.repartition(groups, "deal").sortWithinPartitions("turn", F.desc(size), "deal", *order).drop("deal", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = Bins(length, open_bins, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            put = [bins.place(n) for n in batch.column("length").to_pylist()]
+            put = [bins.place(n) for n in batch.column(size).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in names], pa.array([p[0] for p in put], pa.int64()), pa.array([p[1] for p in put], pa.int64())], [*names, "sequence_id", "offset"]
+                [*[batch.column(c) for c in plain], pa.array([p[0] for p in put], pa.int64()), pa.array([p[1] for p in put], pa.int64())], [*plain, "sequence_id", "offset"]
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return dealt.mapInArrow(common.lean(run), f"{schema}, sequence_id long, offset long")
+    return dealt.mapInArrow(common.lean(run), f"{schema}, sequence_id long, offset long").toDF(*names, "sequence_id", "offset")

@@ -5,6 +5,9 @@ feed, so a text may be cut there and the parts encoded apart. Parts repeat (they
 one is encoded once while it stays in the cache: words by the library's model, everything else by its whole encoder.
 A cut is made only behind characters that are certainly no white space for the library (printable ASCII and U+00C0 to
 U+00FF); tests hold all this against the library's encoding of whole texts.
+
+Added tokens of the file (such as <|endoftext|>) that stand in a text get their own id, as the library has it by default;
+with special_as_text the special ones are ordinary text.
 """
 
 from __future__ import annotations
@@ -50,22 +53,28 @@ def _byte_letters() -> dict[int, str]:
 class ChunkEncoder:
     """encode(texts): for each text the bytes of its ids as little-endian unsigned 32-bit integers."""
 
-    _of: dict[tuple[str, int | None], ChunkEncoder] = {}
+    _of: dict[tuple[str, int | None, bool], ChunkEncoder] = {}
 
     @classmethod
-    def of(cls, path: str, generation: int | None = None) -> ChunkEncoder:
-        """One for each worker process, file and size of the cache."""
-        if (path, generation) not in cls._of:
-            cls._of[path, generation] = cls(path, generation)
-        return cls._of[path, generation]
-
-    def __init__(self, path: str, generation: int | None = None):
+    def of(cls, path: str, generation: int | None = None, special_as_text: bool = False) -> ChunkEncoder:
+        """One for each worker process, file, size of the cache and way with special tokens."""
+        key = (path, generation, special_as_text)
+        if key not in cls._of:
+            cls._of[key] = cls(*key)
+        return cls._of[key]
+
+    def __init__(self, path: str, generation: int | None = None, special_as_text: bool = False):
         self.generation = generation
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special_as_text
+        added = {t.content: (k, t) for k, t in self.library.get_added_tokens_decoder().items() if not (special_as_text and t.special)}
+        #: Added tokens and their ids; with flags that move their edges, a text that holds one goes to the library whole.
+        self.added = {name: struct.pack("<I", k) for name, (k, t) in added.items()}
+        self.edged = any(t.lstrip or t.rstrip or t.single_word or t.normalized for _, t in added.values())
+        self.at_added = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if added else None
         self.vocabulary = self.library.get_vocab_size()
         self.model, self.letters = self.library.model, _byte_letters()
         self.known: dict[str, bytes] = {}
@@ -99,7 +108,12 @@ class ChunkEncoder:
 
     def _whole(self, text: str) -> bytes:
         get = self.known.get
-        return b"".join([get(x) or self._learn(x) for x in _CUT.split(text)])
+        if self.at_added is not None and self.at_added.search(text):
+            if self.edged:
+                ids = self.library.encode(text, add_special_tokens=False).ids
+                return struct.pack(f"<{len(ids)}I", *ids)
+            return b"".join([self.added[x] if x in self.added else self._whole(x) for x in self.at_added.split(text)])
+        return b"".join([get(x) or self._learn(x) for x in _CUT.split(text) if x])
 
     def encode_rows(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another (nulls are empty), each text with `end` behind it, and n + 1 offsets.
@@ -124,7 +138,8 @@ class ChunkEncoder:
         risky = ~safe[which]
         risky[at[1:] - 1] = False
         slow = set((np.searchsorted(at, np.flatnonzero(risky), side="right") - 1).tolist())
-        slow.update(np.flatnonzero(pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)).tolist())
+        for mark in ("\0", *self.added):
+            slow.update(np.flatnonzero(pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)).tolist())
         names = chunks.to_pylist()
         got = list(map(self.known.get, names))
         wanted = np.ones(len(names), bool)
