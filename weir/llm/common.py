@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Records in one Arrow batch sent to Python. Long texts make batches heavy, so they hold few rows.
@@ -23,6 +24,9 @@ SEGMENT_BYTES = 1 << 19
 #: Bytes of text that are tokenised in one go.
 GATHERED_BYTES = 4 << 20
 
+#: Neighbouring whole numbers that one task works through where an order over all of them is needed.
+NEIGHBOURS_LOG2 = 10
+
 _workspaces: dict[str, str] = {}
 
 
@@ -34,11 +38,14 @@ def tune(spark: SparkSession) -> None:
 def workspace(spark: SparkSession) -> str:
     """A folder of this session under spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent (tests on one machine) a temporary folder takes its place.
+    Where the setting is absent a temporary folder takes its place, but only in local mode: elsewhere executors would not
+    share it, so that is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _workspaces:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = base or "file://" + tempfile.mkdtemp(prefix="weir-checkpoint-")
         _workspaces[app] = f"{base.rstrip('/')}/weir-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _workspaces[app])
@@ -70,6 +77,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sums_before(df: DataFrame, key: str, value: str) -> DataFrame:
+    """key (distinct whole numbers) and `before`, the sum of value over all smaller keys.
+
+    Sums run inside blocks of neighbouring keys, and once over the blocks, of which there is one in 1,024 keys.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(value).alias("value"), F.shiftright(key, NEIGHBOURS_LOG2).alias("block"))
+    inside = W.partitionBy("block").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
+    over = W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    blocks = rows.groupBy(F.col("block").alias("b")).agg(F.sum("value").alias("total")).select("b", F.coalesce(F.sum("total").over(over), F.lit(0)).alias("base"))
+    near = rows.withColumn("near", F.coalesce(F.sum("value").over(inside), F.lit(0)))
+    return near.join(blocks, F.col("block") == F.col("b")).select(F.col("key").alias(key), (F.col("base") + F.col("near")).alias("before"))
+
+
+def next_numbers(df: DataFrame, key: str) -> DataFrame:
+    """key (distinct whole numbers) and `next`, the next larger one; the largest is followed by the smallest. By blocks as above."""
+    rows = df.select(F.col(key).alias("key"), F.shiftright(key, NEIGHBOURS_LOG2).alias("block"))
+    firsts = rows.groupBy(F.col("block").alias("b")).agg(F.min("key").alias("first"))
+    every = W.orderBy("b").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    firsts = firsts.select("b", F.coalesce(F.lead("first").over(W.orderBy("b")), F.min("first").over(every)).alias("after"))
+    near = rows.withColumn("near", F.lead("key").over(W.partitionBy("block").orderBy("key")))
+    return near.join(firsts, F.col("block") == F.col("b")).select(F.col("key").alias(key), F.coalesce("near", "after").alias("next"))
+
+
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the id's decimal text, mod 5, is 0; a null id counts as the empty text and so is held out."""
     return F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8")) % 5 == 0

@@ -6,15 +6,17 @@ the documents (ids and lengths, as an Arrow stream), and blocks of BLOCK_TOKENS
 the bit length of every run of CHECKPOINT ids, so that decoding starts at any checkpoint, and all runs of a file are
 decoded side by side with one table of 2^LIMIT entries.
 
-Layout, little-endian: "WEIRTOK1", u32 header size, header JSON (vocabulary, limit, first_token, tokens, documents,
+Layout, little-endian: "WEIRTOK2", u32 header size, header JSON (limit, task, first_token, tokens, documents,
 block and checkpoint sizes, section sizes), zlib of the code lengths (u8 each id), documents, block table (u64 offset
 of each block's payload), checkpoints (u16 bits of each run), payload, u32 crc32 of all before.
 
 Files go to a folder of the shared file system (any URI that pyarrow.fs opens) under a temporary name and are renamed,
-so a task that is run again replaces the same file by the same bytes.
+so a task that is run again replaces the same file by the same bytes. Documents are dealt out by Spark's range
+partitioning of the id; a task doesn't know how many ids others write, so first_token counts within the task, and the
+folder's table `_bases` (Parquet: task, base) has the ids of all tasks before.
 
 Defined results: a null text is the end id alone; null document ids come first; documents of equal id are ordered by
-their ids' bytes; an empty table gives no file and an empty result.
+xxhash64 of their ids and by their ids' bytes; an empty table gives no file and an empty result.
 """
 
 from __future__ import annotations
@@ -30,17 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, tokens
-from .fingerprint import range_bucket
 
-MAGIC, LIMIT, BLOCK_TOKENS, CHECKPOINT = b"WEIRTOK1", 16, 1 << 16, 64
+MAGIC, LIMIT, BLOCK_TOKENS, CHECKPOINT = b"WEIRTOK2", 16, 1 << 16, 64
 #: A file is closed when it holds so many ids (a longer document has a file of its own).
 FILE_TOKENS = 1 << 20
-#: Ids in one range of document ids, which one task sorts and writes; and the most ranges.
-RANGE_TOKENS, MAX_RANGES = 6_000_000, 1 << 16
+#: Ids that one task sorts and writes, about; small corpora have as many tasks as their tokenised table has.
+RANGE_TOKENS = 32_000_000
+#: Up to so many tasks their bases (16 bytes each) are broadcast to readers.
+BROADCAST_BASES = 1_000_000
 END_ID = 0
 #: A larger cache and larger batches than elsewhere, some 150 MB a worker.
 GENERATION, BATCH_BYTES = 400_000, 12 << 20
@@ -151,7 +155,7 @@ class Code:
         return out.T[np.arange(len(out))[None, :] < sizes[:, None]]
 
 
-def write_file(documents: pa.RecordBatch, ids: np.ndarray, first_token: int, packed: bytes, limit: int) -> bytes:
+def write_file(documents: pa.RecordBatch, ids: np.ndarray, first_token: int, packed: bytes, limit: int, task: int = 0) -> bytes:
     """documents: doc_id, n_tokens, in file order; ids: theirs, one after another."""
     code = Code.of(packed, limit)
     payload, runs, offsets, at = [], [], [], 0
@@ -168,7 +172,7 @@ def write_file(documents: pa.RecordBatch, ids: np.ndarray, first_token: int, pac
     table = np.array(offsets, "<u8").tobytes()
     marks = (np.concatenate(runs) if runs else np.zeros(0, np.uint16)).astype("<u2").tobytes()
     body = b"".join(payload)
-    head = json.dumps({"limit": limit, "first_token": first_token, "tokens": len(ids), "documents": documents.num_rows, "block": BLOCK_TOKENS, "checkpoint": CHECKPOINT, "sections": [len(packed), len(docs), len(table), len(marks), len(body)]}).encode()
+    head = json.dumps({"limit": limit, "task": task, "first_token": first_token, "tokens": len(ids), "documents": documents.num_rows, "block": BLOCK_TOKENS, "checkpoint": CHECKPOINT, "sections": [len(packed), len(docs), len(table), len(marks), len(body)]}).encode()
     whole = b"".join([MAGIC, struct.pack("<I", len(head)), head, packed, docs, table, marks, body])
     return whole + struct.pack("<I", zlib.crc32(whole))
 
@@ -248,9 +252,9 @@ def global_counts(tokenised: DataFrame, vocabulary: int, width: int) -> np.ndarr
 
 
 def write_corpus(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes all documents into files under `folder` in ascending order of the id; returns the manifest (written).
+    """Encodes all documents into files under `folder` in ascending order of the id; returns the manifest.
 
-    The manifest has path, first_token (ids in all files before), n_tokens, n_docs and bytes.
+    The manifest has path, first_token (ids in all files before), n_tokens, n_docs and bytes, one row for each file.
     """
     spark = docs.sparkSession
     common.make_folder(spark, folder)
@@ -261,52 +265,58 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     counts = global_counts(tokenised, vocabulary, width)
     limit = limit_for(int((counts > 0).sum()))
     packed = zlib.compress(code_lengths(counts, limit).tobytes(), 9)
-    ranges = int(min(MAX_RANGES, max(1, -(-int(counts.sum()) // RANGE_TOKENS))))
-    bounds = sorted({int(b) for b in tokenised.select("doc_id").na.drop().approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.05 / ranges)}) if ranges > 1 else []
-    placed = tokenised.withColumn("range", range_bucket(F.col("doc_id"), bounds))
-    sums = sorted((r["range"], r["n"]) for r in placed.select("range", "n_tokens").groupBy("range").agg(F.sum("n_tokens").alias("n")).collect())
-    first, base = {}, 0
-    for key, n in sums:
-        first[key], base = base, base + n
-    dealt = placed.repartition(max(1, len(sums)), "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "ids")
+    parts = max(1, tokenised.rdd.getNumPartitions(), -(-int(counts.sum()) // RANGE_TOKENS))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]
+    dealt = tokenised.repartitionByRange(parts, *order).sortWithinPartitions(*order, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        current, at, number, held, ids, count = None, 0, 0, [], [], 0
+        task, at, number, held, ids, count = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal at, number, held, ids, count
             if held:
                 table = pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64())], ["doc_id", "n_tokens"])
-                data = write_file(table, np.frombuffer(b"".join(ids), f"<u{width}").astype(np.int64), at, packed, limit)
-                name = f"{root}/part-{current + 1:08d}-{number:06d}.wtok"
+                data = write_file(table, np.frombuffer(b"".join(ids), f"<u{width}").astype(np.int64), at, packed, limit, task)
+                name = f"{root}/part-{task:08d}-{number:06d}.wtok"
                 passing = f"{root}/_passing-{uuid.uuid4().hex}"
                 with store.open_output_stream(passing) as f:
                     f.write(data)
                 store.move(passing, name)
-                yield pa.RecordBatch.from_arrays([pa.array([os.path.basename(name)]), pa.array([at], pa.int64()), pa.array([count], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([len(data)], pa.int64())], ["path", "first_token", "n_tokens", "n_docs", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array([os.path.basename(name)]), *[pa.array([x], pa.int64()) for x in (task, at, count, len(held), len(data))]], _MANIFEST)
                 at, number = at + count, number + 1
                 held, ids, count = [], [], 0
 
         for batch in batches:
-            for key, doc, n, one in zip(*(batch.column(k).to_pylist() for k in ("range", "doc_id", "n_tokens", "ids"))):
-                if key != current or (count and count + n > FILE_TOKENS):
+            for doc, n, one in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "n_tokens", "ids"))):
+                if count and count + n > FILE_TOKENS:
                     yield from close()
-                    if key != current:
-                        current, at, number = key, first[key], 0
                 held.append((doc, n))
                 ids.append(one)
                 count += n
         yield from close()
 
-    return common.written(dealt.mapInArrow(common.lean(run), "path string, first_token long, n_tokens long, n_docs long, bytes long"), "token-manifest")
+    made = common.written(dealt.mapInArrow(common.lean(run), "path string, " + ", ".join(f"{c} long" for c in _MANIFEST[1:])), "token-manifest")
+    totals = made.groupBy("task").agg(F.sum("n_tokens").alias("total"))
+    common.sums_before(totals, "task", "total").withColumnRenamed("before", "base").write.mode("overwrite").parquet(f"{folder}/_bases")
+    bases = read_bases(spark, folder)
+    return made.join(bases, F.col("task") == F.col("b_task")).select("path", (F.col("first_token") + F.col("base")).alias("first_token"), "n_tokens", "n_docs", "bytes")
 
 
-def read_corpus(spark, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids (little-endian unsigned 32-bit), from the files alone."""
+_MANIFEST = ["path", "task", "first_token", "n_tokens", "n_docs", "bytes"]
+
+
+def read_bases(spark: SparkSession, folder: str) -> DataFrame:
+    """b_task, base: the ids that tasks before wrote; with a broadcast hint while they are few."""
+    bases = spark.read.schema("task long, base long").parquet(f"{folder}/_bases").select(F.col("task").alias("b_task"), "base")
+    return F.broadcast(bases) if bases.limit(BROADCAST_BASES + 1).count() <= BROADCAST_BASES else bases
+
+
+def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens, ids (little-endian unsigned 32-bit), from the folder alone."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wtok").load(folder).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,8 +329,9 @@ def read_corpus(spark, folder: str) -> DataFrame:
                 starts = ends - sizes
                 parts = [ids[4 * a : 4 * z] for a, z in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(f.documents.column("doc_id").to_pylist(), pa.int64()), pa.array(starts + f.head["first_token"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())],
-                    ["doc_id", "start", "n_tokens", "ids"],
+                    [pa.array([f.head["task"]] * len(sizes), pa.int64()), pa.array(f.documents.column("doc_id").to_pylist(), pa.int64()), pa.array(starts + f.head["first_token"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())],
+                    ["task", "doc_id", "local", "n_tokens", "ids"],
                 )
 
-    return files.mapInArrow(common.lean(run), "doc_id long, start long, n_tokens long, ids binary")
+    rows = files.mapInArrow(common.lean(run), "task long, doc_id long, local long, n_tokens long, ids binary")
+    return rows.join(read_bases(spark, folder), F.col("task") == F.col("b_task")).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")
