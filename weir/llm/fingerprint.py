@@ -8,8 +8,11 @@ the kept hashes in ascending order, 8 hex digits each (the top 32 of their remai
 Likeness of two fingerprints: Jaccard estimate, shared hashes by hashes of either; where neither kept a hash, 1 if the
 digests are equal, else 0. Containment: shared hashes by those of the smaller sketch.
 
-Defined results: a null text counts as empty; an empty text keeps no hash; repeated ids are ordered by text; null ids
-come last; a single document is its own next one; an empty table gives an empty result.
+A text of n shingles keeps none of them with probability (7/8)^n: a third of the texts of 12 words, one in 400 of 50
+words. Below that the likeness of a near copy is often 0, as if it were another text; equal texts have likeness 1 always.
+
+Defined results: a null text counts as empty; an empty text keeps no hash; repeated ids are ordered by xxhash64 of the
+text and the text; null ids come last; a single document is its own next one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,16 +21,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 SCALE = 8
-#: Up to so many bounds are compared one by one in the plan; a longer list is searched in Python.
-PLAIN_BOUNDS = 256
 _LIMIT = np.uint64((1 << 64) // SCALE)
 _SHIFT = np.uint64(64 - 32 - (SCALE.bit_length() - 1))
 
@@ -81,75 +82,73 @@ def fingerprints(docs: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), text_c
     return rows.mapInArrow(common.lean(run), f"{keys}, fingerprint string").toDF(*id_cols, "fingerprint")
 
 
-def range_bucket(column: Column, bounds: list[int]) -> Column:
-    """The number of bounds (ascending) that are not above the value; -1 for null."""
-    if len(bounds) <= PLAIN_BOUNDS:
-        below = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= column)) if bounds else F.lit(0)
-        return F.when(column.isNull(), -1).otherwise(below).cast("long")
-    edges = np.array(bounds, np.int64)
+def _judged(pairs: list[tuple[tuple, tuple]]) -> list[tuple]:
+    """pairs of (id, text, sketch) and the next document's (text, sketch): the rows of results."""
+    edited = [text[: len(text) - len(text) // 3] + after[: len(text) // 3] for (_, text, _), (after, _) in pairs]
+    return [
+        (key, len(text), hashlib.sha256(new.encode()).hexdigest(), fingerprint(text, sketch), fingerprint(new, new_sketch))
+        + compare(text, sketch, new, new_sketch)
+        + compare(text, sketch, after, after_sketch)
+        for ((key, text, sketch), (after, after_sketch)), new, new_sketch in zip(pairs, edited, sketches(edited))
+    ]
 
-    @F.pandas_udf("long")
-    def of(values: pd.Series, known: pd.Series) -> pd.Series:
-        return pd.Series(np.where(known, np.searchsorted(edges, values.to_numpy(np.int64), side="right"), -1))
 
-    return of(F.coalesce(column, F.lit(0)).cast("long"), column.isNotNull())
+_NAMES = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "held_edited", "near_next", "held_next"]
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
+_SCHEMA = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, held_edited double, near_next double, held_next double"
+DONE, HEAD, TAIL = 0, 1, 2
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint and the likenesses to the edited text and the next document.
 
     The edited text has the last third (code points, rounded down) replaced by as much of the start of the next document
-    in descending order of the id. Documents are dealt out by ranges of the id and sorted there; the first document of
-    every range is also sent to the range that it follows.
+    in descending order of the id. Texts are shuffled once, by Spark's range partitioning of the id, and sorted there.
+    Each task judges its documents but the last, which is written with its text beside the task's first one; these few
+    rows (two for each task) are then joined by the tasks' numbers. Nothing is gathered on the driver.
     """
-    spark = docs.sparkSession
-    common.tune(spark)
+    common.tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    tasks = max(1, docs.rdd.getNumPartitions())
-    ranges = 3 * tasks
-    bounds = sorted({int(b) for b in rows.select("id").na.drop().approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else []
-    placed = rows.withColumn("range", range_bucket(F.col("id"), bounds))
-    # one row for each range: as many as `ranges`, whatever the input
-    tops = placed.drop("text").groupBy("range").agg(F.max("id").alias("top")).orderBy(F.desc("range")).collect()
-    follows = {r["range"]: tops[k - 1]["range"] for k, r in enumerate(tops)}  # the highest follows the lowest
-    follow = F.lit(None).cast("long")
-    if tops:
-        pairs = F.create_map(*[F.lit(x).cast("long") for r in tops for x in (r["range"], follows[r["range"]])])
-        firsts = F.create_map(*[F.lit(x).cast("long") for r in tops for x in (r["range"], r["top"] if r["top"] is not None else 0)])
-        follow = F.when((F.col("range") == -1) | (F.col("id") == F.element_at(firsts, F.col("range"))), F.element_at(pairs, F.col("range")))
-    own = F.struct(F.col("range").alias("at"), F.lit(False).alias("ahead"))
-    ahead = F.when(follow.isNotNull(), F.struct(follow.alias("at"), F.lit(True).alias("ahead")))
-    sent = placed.withColumn("to", F.explode(F.array_compact(F.array(own, ahead)))).select("to.at", "to.ahead", "id", "text")
-    dealt = sent.repartition(tasks, "at").sortWithinPartitions("at", "ahead", F.col("id").desc_nulls_last(), "text")
+    order = [F.col("id").desc_nulls_last(), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(max(1, docs.rdd.getNumPartitions()), *order).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (range, id, text, sketch): a row of the range that still waits for its next one
-        for batch in batches:
-            at, is_ahead, ids, texts = (batch.column(k).to_pylist() for k in range(4))
-            own_sketches = sketches(texts)
-            waiting = []
-            for row in zip(at, is_ahead, ids, texts, own_sketches):
-                if last is not None and last[0] == row[0]:
-                    waiting.append((last, row))
-                last = None if row[1] else (row[0], row[2], row[3], row[4])
-            if not waiting:
-                continue
-            edited = []
-            for (_, _, text, _), row in waiting:
-                third = len(text) // 3
-                edited.append(text[: len(text) - third] + row[3][:third])
-            made = []
-            for ((_, key, text, sketch), row), new, new_sketch in zip(waiting, edited, sketches(edited)):
-                made.append(
-                    (key, len(text), hashlib.sha256(new.encode()).hexdigest(), fingerprint(text, sketch), fingerprint(new, new_sketch))
-                    + compare(text, sketch, new, new_sketch)
-                    + compare(text, sketch, row[3], row[4])
-                )
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), _TYPES)], _NAMES)
-
-    return dealt.mapInArrow(common.lean(run), _SCHEMA).withColumnRenamed("id", id_col)
+        task = TaskContext.get().partitionId()
 
+        def made(kind: int, rows: list[tuple], texts: list[str | None]) -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)]
+            return pa.RecordBatch.from_arrays([pa.array([task] * len(rows), pa.int64()), pa.array([kind] * len(rows), pa.int32()), pa.array(texts, pa.string()), *columns], ["task", "kind", "text", *_NAMES])
 
-_NAMES = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "held_edited", "near_next", "held_next"]
-_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
-_SCHEMA = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, held_edited double, near_next double, held_next double"
+        def edge(kind: int, row: tuple) -> pa.RecordBatch:
+            return made(kind, [(row[0], *[None] * (len(_NAMES) - 1))], [row[1]])
+
+        last = None  # (id, text, sketch) of the row that still waits for its next one
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            pairs = []
+            for row in zip(batch.column(0).to_pylist(), texts, sketches(texts)):
+                if last is None:
+                    yield edge(HEAD, row)
+                else:
+                    pairs.append((last, row[1:]))
+                last = row
+            if pairs:
+                yield made(DONE, _judged(pairs), [None] * len(pairs))
+        if last is not None:
+            yield edge(TAIL, last)
+
+    work = common.written(dealt.mapInArrow(common.lean(run), f"task long, kind int, text string, {_SCHEMA}"), "fingerprints")
+    heads = work.filter(F.col("kind") == HEAD).select(F.col("task").alias("h_task"), F.col("text").alias("after"))
+    tails = work.filter(F.col("kind") == TAIL).select("task", "id", "text")
+    follows = common.next_numbers(heads, "h_task").select(F.col("h_task").alias("f_task"), "next")
+    met = tails.join(follows, F.col("task") == F.col("f_task")).join(heads, F.col("next") == F.col("h_task")).select("id", "text", "after")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, texts, afters = (batch.column(k).to_pylist() for k in range(3))
+                got = _judged(list(zip(zip(ids, texts, sketches(texts)), zip(afters, sketches(afters)))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), _TYPES)], _NAMES)
+
+    done = work.filter(F.col("kind") == DONE).select(*_NAMES)
+    return done.unionByName(met.mapInArrow(common.lean(close), _SCHEMA)).withColumnRenamed("id", id_col)
