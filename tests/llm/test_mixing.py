@@ -89,3 +89,24 @@ def test_given_weights(spark):
     weights = spark.createDataFrame([("a", 1.0), ("b", 0.0)], "source string, weight double")
     rows = mixing.mix(df, weights).collect()
     assert sum(r.taken for r in rows if r.doc_id % 2) == 0 and sum(r.taken for r in rows) == 400
+
+
+def test_fractional_epochs_and_the_salted_join(spark, monkeypatch):
+    rows = [(k, "w " * 10, "ab"[k % 20 == 0], 0, 0.0) for k in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    weights = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, weight double")
+    want = sorted(map(str, mixing.mix(df, weights, max_epochs=2.5).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    got = mixing.mix(df, weights, max_epochs=2.5).collect()
+    assert sorted(map(str, got)) == want
+    assert {r.target for r in got if r.source_size == 200} == {500.0} and sum(r.taken for r in got if r.source_size == 200) == 500
+
+
+def test_many_sources(spark):
+    df = spark.createDataFrame([(k, "w " * (1 + k % 7), f"s{k % 3000:05d}", 0, 0.0) for k in range(6000)], SCHEMA).repartition(5)
+    sizes = defaultdict(int)
+    for k in range(6000):
+        sizes[f"s{k % 3000:05d}"] += 1 + k % 7
+    want = fill(sizes, {s: k % 3 + 1 for k, s in enumerate(sorted(sizes))})
+    for r in mixing.mix(df, keep=("doc_id",)).select("doc_id", "target").collect():
+        assert r.target == pytest.approx(want[f"s{r.doc_id % 3000:05d}"])
