@@ -1,7 +1,10 @@
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pytest
 
-from weir.llm import ann
+from weir.llm import ann, queries
 
 SCHEMA = "vec_id long, embedding array<float>, score string, rank int"
 
@@ -11,7 +14,7 @@ def brute(rows, k):
     out = {}
     for i, v in ok:
         if i % 20 == 0:
-            scored = sorted(((-float((w * v).sum()), j) for j, w in ok if j != i))[:k]
+            scored = sorted((-reduce(add, (w * v).tolist(), 0.0), j) for j, w in ok if j != i)[:k]
             out[i] = [(r + 1, j, -s) for r, (s, j) in enumerate(scored)]
     return out
 
@@ -46,11 +49,28 @@ def test_exact_while_all_are_reranked(spark, monkeypatch):
 
 def test_recall_by_table_scans(spark):
     rows = vectors(3000)
-    got, want = ask(spark, rows, k=20, rerank=150), brute(rows, 20)
+    got, want = ask(spark, rows, k=20), brute(rows, 20)
     hits = sum(len({x[1] for x in got[q]} & {x[1] for x in want[q]}) for q in want)
     assert hits / (20 * len(want)) >= 0.9
 
 
+def test_recall_of_the_registered_query(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = {(r[0], r[2]) for r in con.execute(queries.OP4_SQL).fetchall()}
+    got = {(r.query_id, r.vec_id) for r in queries.op4_nearest(spark, sf).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_repeated_ids(spark):
+    rows = [(0, [1.0, 0.5], "", 0), (0, [1.0, 0.5], "", 0), (1, [0.5, 1.0], "", 0), (1, [2.0, 1.0], "", 0)]
+    got = ask(spark, rows, k=5)
+    assert [x[1] for x in got[0]] == [1, 1, 1, 1] and sorted({x[2] for x in got[0]}) == [1.0, 2.5]
+
+
 def test_few_and_none(spark):
     assert ask(spark, vectors(3)[:3], k=20) == brute(vectors(3)[:3], 20)
     assert ask(spark, [], k=20) == {}

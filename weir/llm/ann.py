@@ -6,17 +6,22 @@ error parallel to the vector, which changes its largest inner products, weighs e
 the share `least_score` of the norm above which scores matter. Codes and centres are found by coordinate descent,
 centres on a bounded sample (SAMPLE_ROWS vectors), codes for every vector.
 
-A search meets blocks of queries with blocks of vectors. For each query a table of 256 entries for each code byte is
-filled with (16-bit) partial scores, the block's codes are looked up and summed, and the `rerank` best of the block are
-scored exactly in double precision; each pair of blocks keeps the k best of every query, and these are merged.
+A search meets blocks of queries with blocks of codes; vectors stay where they are. For each query a table of 256
+entries for each code byte is filled with (16-bit) partial scores, the block's codes are looked up and summed, and the
+best of the block go on. Rows are dealt to blocks at random, so a block sends its share of the `rerank` best and a
+margin (MARGIN standard deviations). The `rerank` best of each query then go, by block, to the blocks' vectors: a second
+equi-join, on the number of the block, at which they are scored exactly in double precision. A block that very many
+queries ask for is copied, so that each copy has at most about ASKS of them. Of equal vectors only the k + 1 smallest
+ids are indexed, as no other can be among the k nearest; the rest would only crowd out different vectors.
 
 Defined results: vectors that are null, zero, of another length than most (ties: the shorter) or hold a null or
 non-finite component take no part; equal scores go to the smaller id; with fewer than k candidates all are returned;
-a repeated id is a candidate like any other for queries of a different id; an empty table gives an empty result.
+a repeated id is a candidate like any other for queries of a different id, and each of its rows is a query; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -31,8 +37,10 @@ from . import common
 #: Vectors that the centres are fitted on, about; they are chosen by a hash of the id.
 SAMPLE_ROWS = 10_000
 CENTRES, SUB, SWEEPS, ROUNDS, LEAST_SCORE = 16, 2, 2, 6, 0.2
-#: Vectors and queries in a block, and vectors of a block that are scored exactly for each query.
-BLOCK, QUERY_BLOCK, RERANK = 8192, 1024, 384
+#: Vectors and queries in a block, and vectors that are scored exactly for each query.
+BLOCK, QUERY_BLOCK, RERANK, MARGIN = 8192, 1024, 512, 6
+#: Places in a block's numbering; queries that one copy of a block scores, about; blocks whose counts are broadcast (16 bytes each).
+SPAN, ASKS, BROADCAST_BLOCKS = 1 << 14, 32768, 1_000_000
 #: Merges of a query's hits before the last one.
 LANES = 64
 
@@ -79,15 +87,15 @@ class Quantiser:
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return self.centres[np.arange(self.subspaces)[None, :], codes].reshape(len(codes), -1)[:, : self.dim]
 
-    def tables(self, query: np.ndarray) -> tuple[np.ndarray, float]:
-        """For each pair of subspaces 256 partial scores, in 16 bits, and the step of that scale."""
+    def tables(self, query: np.ndarray) -> tuple[np.ndarray, float, float]:
+        """For each pair of subspaces 256 partial scores, in 16 bits; the step of that scale and the sum that 0 stands for."""
         part = (self.centres * self._padded(query[None])[0][:, None, :]).sum(axis=2)
         if len(part) % 2:
             part = np.concatenate([part, np.zeros((1, CENTRES))])
         pairs = (part[0::2, None, :] + part[1::2, :, None]).reshape(len(part) // 2, 256)
         low = pairs.min(axis=1, keepdims=True)
         step = max(float((pairs - low).max()) / (32767 // max(1, len(pairs))), 1e-300)
-        return np.rint((pairs - low) / step).astype(np.uint16), step
+        return np.rint((pairs - low) / step).astype(np.uint16), step, float(low.sum())
 
     @staticmethod
     def packed(codes: np.ndarray) -> np.ndarray:
@@ -145,22 +153,22 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame, dim: int, size: int, quantiser: Quantiser | None, name: str) -> DataFrame:
-    """Every row, in blocks of up to `size`: part, ids, exact (whether four bytes hold each number), vectors, codes. Written.
+    """Every row, in blocks of up to `size`: part, block, ids, short (four bytes hold each number), vectors, codes (none without a quantiser). Written.
 
     Parts are numbered from 0; a part has one block, or more if it came out larger than `size`.
     """
     sent = rows.sparkSession.sparkContext.broadcast(quantiser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, ids, vectors = TaskContext.get().partitionId(), 0, [], []
+        part, block, held, ids, vectors = TaskContext.get().partitionId(), 0, 0, [], []
 
         def close() -> pa.RecordBatch:
             x = np.concatenate(vectors)
             short = bool((x == x.astype(np.float32)).all())
             codes = Quantiser.packed(sent.value.encode(x)) if sent.value is not None else np.zeros(0, np.uint8)
             data = [np.concatenate(ids).tobytes(), (x.astype(np.float32) if short else x).tobytes(), codes.tobytes()]
-            arrays = [pa.array([part], pa.int64()), pa.array([short]), *[pa.array([d], pa.binary()) for d in data]]
-            return pa.RecordBatch.from_arrays(arrays, ["part", "short", "ids", "vectors", "codes"])
+            arrays = [pa.array([part], pa.int64()), pa.array([(part << 20) + block], pa.int64()), pa.array([short]), *[pa.array([d], pa.binary()) for d in data]]
+            return pa.RecordBatch.from_arrays(arrays, ["part", "block", "short", "ids", "vectors", "codes"])
 
         for batch in batches:
             at = 0
@@ -171,49 +179,42 @@ def _blocks(rows: DataFrame, dim: int, size: int, quantiser: Quantiser | None, n
                 at, held = at + piece.num_rows, held + piece.num_rows
                 if held == size:
                     yield close()
-                    held, ids, vectors = 0, [], []
+                    block, held, ids, vectors = block + 1, 0, [], []
         if held:
             yield close()
 
     dealt = rows.select("id", "v").repartition(max(1, -(-rows.count() // size)))
-    return common.written(dealt.mapInArrow(common.lean(run), "part long, short boolean, ids binary, vectors binary, codes binary"), name)
+    return common.written(dealt.mapInArrow(common.lean(run), "part long, block long, short boolean, ids binary, vectors binary, codes binary"), name)
 
 
-def build_index(rows: DataFrame, dim: int, quantiser: Quantiser) -> DataFrame:
-    return _blocks(rows, dim, BLOCK, quantiser, "ann-index")
+def _numbers(value: pa.Scalar, short: bool, dim: int) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.float32 if short else np.float64).astype(np.float64).reshape(-1, dim)
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best, by score and then smaller id."""
-    return np.lexsort((ids, -scores))[:k]
+def build_index(rows: DataFrame, dim: int, quantiser: Quantiser) -> DataFrame:
+    return _blocks(rows, dim, BLOCK, quantiser, "ann-index")
 
 
-def search_block(q: Quantiser, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best ids and exact scores of one query in one block."""
-    if len(ids) > rerank:
-        tables, _ = q.tables(query)
-        total = tables[0][codes[0]]
-        for m in range(1, len(codes)):
-            total += tables[m][codes[m]]
-        near = np.argpartition(total, len(ids) - rerank)[len(ids) - rerank :]
-        # all that tie with the last one are scored as well
-        near = np.flatnonzero(total >= total[near].min())
-    else:
-        near = np.arange(len(ids))
-    near = near[ids[near] != query_id]
-    exact = (vectors[near] * query).sum(axis=1)  # row by row the same order of additions, so equal vectors tie
-    top = best_of(exact, ids[near], k)
-    return ids[near][top], exact[top]
+def scan_block(q: Quantiser, codes: np.ndarray, query: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the `most` best vectors of a block by the tables, and their approximate scores."""
+    tables, step, low = q.tables(query)
+    total = tables[0][codes[0]]
+    for m in range(1, len(codes)):
+        total += tables[m][codes[m]]
+    near = np.argpartition(total, len(total) - most)[len(total) - most :] if len(total) > most else np.arange(len(total))
+    return near, total[near].astype(np.float64) * step + low
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), id_col, score: the k best of `vectors` for each row of `queries`, but for its own id."""
     spark = vectors.sparkSession
     common.tune(spark)
+    empty = spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
     rows, dim = usable(vectors, id_col, vector_col)
     if not dim:
-        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    rows = common.written(rows, "ann-vectors")
+        return empty
+    same = W.partitionBy("v").orderBy("id")
+    rows = common.written(rows.withColumn("place", F.row_number().over(same)).filter(F.col("place") <= k + 1).select("id", "v"), "ann-vectors")
     n = rows.count()
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0
     sample = rows.filter(draw < min(1.0, sample_rows / n)).limit(2 * sample_rows).toPandas().sort_values("id")
@@ -222,27 +223,73 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RE
     quantiser = fit(np.stack(sample["v"].to_numpy()).astype(np.float64))
     index = build_index(rows, dim, quantiser)
     asked, _ = usable(queries, id_col, vector_col)
-    asked = _blocks(asked.filter(F.size("v") == dim), dim, QUERY_BLOCK, None, "ann-queries")
-    # every block of queries meets every block of vectors once, by the numbers of their parts
-    n_index, n_asked = index.agg(F.max("part")).first()[0], asked.agg(F.max("part")).first()[0]
+    # rows of one id may differ in their vectors, so a query is a row, by a number of its own
+    asked = common.written(asked.filter(F.size("v") == dim).select(F.monotonically_increasing_id().alias("q"), "id", "v"), "ann-queries")
+    blocks = _blocks(asked.select(F.col("q").alias("id"), "v"), dim, QUERY_BLOCK, None, "ann-query-blocks")
+    # every block of queries meets every block of codes once, by the numbers of their parts
+    parts = index.agg(F.max("part"), F.count("*")).first()
+    n_index, n_asked = parts[0], blocks.agg(F.max("part")).first()[0]
     if n_asked is None:
-        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    left = index.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(n_asked)).cast("array<long>")))
-    right = asked.select(F.col("part").alias("q_part"), F.explode(F.sequence(F.lit(0), F.lit(n_index)).cast("array<long>")).alias("part"), F.col("ids").alias("q_ids"), F.col("short").alias("q_short"), F.col("vectors").alias("q_vectors"))
-    met = left.join(right, ["part", "q_part"]).select("ids", "codes", "short", "vectors", "q_ids", "q_short", "q_vectors", "part")
+        return empty
+    mean = rerank / parts[1]
+    most = min(rerank, math.ceil(mean + MARGIN * math.sqrt(mean))) + 1
+    left = index.select("part", "block", "codes", F.explode(F.sequence(F.lit(0), F.lit(n_asked)).cast("array<long>")).alias("q_part"))
+    right = blocks.select(F.col("part").alias("q_part"), F.explode(F.sequence(F.lit(0), F.lit(n_index)).cast("array<long>")).alias("part"), "ids", "short", "vectors")
+    met = left.join(right, ["part", "q_part"]).select("block", "codes", "ids", "short", "vectors")
     sent = spark.sparkContext.broadcast(quantiser)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
+        width = -(-q.subspaces // 2)
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, codes, q_ids = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in (("ids", np.int64), ("codes", np.uint8), ("q_ids", np.int64)))
-                x, q_x = (np.frombuffer(batch.column(f"{c}vectors")[r].as_buffer(), np.float32 if batch.column(f"{c}short")[r].as_py() else np.float64).astype(np.float64).reshape(-1, dim) for c in ("", "q_"))
-                found = [search_block(q, ids, codes.reshape(-1, len(ids)), x, int(qid), qx, k, rerank) for qid, qx in zip(q_ids, q_x)]
-                hits = pa.array([[{"score": -s, "id": i} for i, s in zip(a.tolist(), b.tolist())] for a, b in found], pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array([batch.column("part")[r].as_py() % LANES] * len(q_ids), pa.int64()), hits], ["query_id", "lane", "hits"])
-
-    found = met.mapInArrow(common.lean(run), "query_id long, lane long, hits array<struct<score double, id long>>")
-    for keys in (["query_id", "lane"], ["query_id"]):  # in two steps, so that no list holds a query's hits of all blocks
-        found = found.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))
-    return found.select("query_id", F.posexplode("hits").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.id").alias(id_col), (-F.col("hit.score")).alias("score"))
+                block, asking = batch.column("block")[r].as_py(), np.frombuffer(batch.column("ids")[r].as_buffer(), np.int64)
+                codes = np.frombuffer(batch.column("codes")[r].as_buffer(), np.uint8).reshape(width, -1)
+                found = [scan_block(q, codes, one, most) for one in _numbers(batch.column("vectors")[r], batch.column("short")[r].as_py(), dim)]
+                ends = np.concatenate([[0], np.cumsum([len(near) for near, _ in found])]).astype(np.int32)
+                places = np.concatenate([near for near, _ in found]) + block * SPAN
+                hits = pa.StructArray.from_arrays([pa.array(-np.concatenate([s for _, s in found]).astype(np.float32)), pa.array(places)], ["score", "place"])
+                lanes = pa.array([block % LANES] * len(asking), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(asking), lanes, pa.ListArray.from_arrays(pa.array(ends), hits)], ["q", "lane", "hits"])
+
+    found = met.mapInArrow(common.lean(scan), "q long, lane long, hits array<struct<score float, place long>>")
+    for keys in (["q", "lane"], ["q"]):  # in two steps, so that no list holds a query's hits of all blocks
+        found = found.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, rerank + 1).alias("hits"))
+    spread = found.select("q", F.explode("hits.place").alias("place")).groupBy("q", F.floor(F.col("place") / SPAN).alias("block")).agg(F.collect_list(F.pmod("place", F.lit(SPAN)).cast("int")).alias("places"))
+    spread = common.written(spread, "ann-asks")
+    counts = common.written(spread.groupBy(F.col("block").alias("n_block")).agg(F.ceil(F.count("*") / ASKS).cast("int").alias("copies")), "ann-copies")
+    if counts.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
+        counts = F.broadcast(counts)
+    named = asked.select(F.col("q").alias("a_q"), F.col("id").alias("query_id"), F.col("v").alias("q_v"))
+    asks = spread.join(named, F.col("q") == F.col("a_q")).join(counts, F.col("block") == F.col("n_block"))
+    none = lambda kind: F.lit(None).cast(kind)
+    asks = asks.select("block", F.pmod(F.xxhash64("q"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), "q", "query_id", "q_v", "places", none("boolean").alias("short"), none("binary").alias("ids"), none("binary").alias("vectors"))
+    held = index.join(counts, F.col("block") == F.col("n_block")).select(
+        "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"),
+        none("long").alias("q"), none("long").alias("query_id"), none("array<double>").alias("q_v"), none("array<int>").alias("places"), "short", "ids", "vectors",
+    )
+    dealt = held.unionByName(asks).repartition("block", "copy").sortWithinPartitions("block", "copy", "kind")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = x = None
+        for batch in batches:
+            kinds = np.append(np.flatnonzero(batch.column("kind").to_numpy() == 0), batch.num_rows)
+            for lo, hi in zip(np.concatenate([[-1], kinds[:-1]]), kinds):
+                if lo >= 0:
+                    ids = np.frombuffer(batch.column("ids")[lo].as_buffer(), np.int64)
+                    x = _numbers(batch.column("vectors")[lo], batch.column("short")[lo].as_py(), dim)
+                if hi - lo < 2:
+                    continue
+                part = batch.slice(lo + 1, hi - lo - 1)
+                lists = part.column("places")
+                which = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                places = lists.flatten().to_numpy()
+                products, score = _matrix(part.column("q_v"), dim)[which] * x[places], np.zeros(len(places))
+                for d in range(dim):  # in every row the same order of additions, so equal vectors tie
+                    score += products[:, d]
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(which)) for c in ("q", "query_id")], pa.array(ids[places]), pa.array(score)], ["q", "query_id", "id", "score"])
+
+    scored = dealt.mapInArrow(common.lean(exact), "q long, query_id long, id long, score double").filter("id <> query_id")
+    best = W.partitionBy("q").orderBy(F.desc("score"), "id")
+    ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
