@@ -2,8 +2,8 @@ import re
 
 import pytest
 
+from weir.llm import licences, queries
 from weir.llm import license_scan as L
-from weir.llm import queries
 
 
 def test_markup():
@@ -15,6 +15,27 @@ def test_markup():
             L.compile_template("x", bad)
 
 
+def plain_words(template, optional):
+    """The words of a template with its optional regions or without them, and a word for each replaceable one."""
+    text = re.sub(r"<<\w+:\d+>>", " someone " if optional else " ", template)
+    while "[[" in text:
+        text = re.sub(r"\[\[((?:(?!\[\[|\]\]).)*)\]\]", r" \1 " if optional else " ", text, flags=re.S)
+    return L.WORDS.findall(text.encode().lower())
+
+
+@pytest.mark.parametrize("label,template", [*licences.TEXTS, *licences.bodies()])
+def test_whole_texts_by_their_mandatory_wording(label, template):
+    a = L.compile_template(label, template)
+    least, most = plain_words(template, False), plain_words(template, True)
+    assert a.longest(least, 0) == len(least) and a.longest(most, 0) == len(most)
+    step = max(1, len(least) // 60)
+    for k in range(0, len(least), step):
+        assert a.longest([*least[:k], b"altered", *least[k + 1 :]], 0) == -1
+        assert a.longest([*least[:k], *least[k + 1 :]], 0) == -1 or least[k] == least[min(k + 1, len(least) - 1)]
+    n, found = L.Scanner().scan(b"Some work.\n\n" + b" ".join(most) + b"\n\nMore.")
+    assert n == len(most) + 3 and (label, False, 2, 2 + len(most)) in found
+
+
 def brute(text):
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     places = [(k, label) for phrase, label in L.BASE for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]

@@ -22,17 +22,16 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import common
+from . import common, licences
 
 WORDS = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _MARKUP = re.compile(r"\[\[|\]\]|<<(\w+):(\d+)>>|[^\[\]<>\s]+|\S")
 
 #: Phrases whose places count as base matches, with their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Wording of notices and licence texts, with labels of the method's own.
+#: Wording of short notices, and of whole licence texts and headers, with labels of the method's own.
 TEMPLATES = (
     ("MIT-notice", "[[this <<what:3>> is]] [[released]] [[licensed]] under the [[terms of the]] mit license"),
-    ("MIT-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("Apache-2.0", "[[licensed under]] the apache license version 2 [[0]]"),
     ("GPL-notice", "[[this <<what:3>> is]] licensed under the [[gnu]] general public license [[version <<number:2>>]]"),
     ("GPL-3.0", "[[gnu]] general public license [[as published by the free software foundation either]] version 3"),
@@ -42,8 +41,9 @@ TEMPLATES = (
     ("CC-BY", "licensed under [[a]] [[the]] [[creative commons]] cc by [[<<number:2>>]]"),
     ("CC-BY-NC", "licensed under [[a]] [[the]] [[creative commons]] cc by nc [[<<number:2>>]]"),
     ("CC-BY-SA", "licensed under [[a]] [[the]] [[creative commons]] cc by sa [[<<number:2>>]]"),
-    ("BSD", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("SPDX-tag", "spdx license identifier <<id:1>>"),
+    *licences.TEXTS,
+    *licences.bodies(),
 )
 
 
