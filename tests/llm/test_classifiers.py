@@ -62,6 +62,53 @@ def test_language_edges(spark):
     assert langid.identify(df.limit(0), model).count() == 0
 
 
+def test_a_language_that_was_not_learned_is_rejected():
+    docs = [d for d in pq.read_table("/root/testdata/sf0.1/documents.parquet").to_pylist() if d["text"] and d["lang"]][:5000]
+    for out in ("fr", "de"):
+        learned = [d for d in docs[:2500] if d["lang"] != out]
+        m = langid.train([d["text"] for d in learned], [d["lang"] for d in learned])
+        kept, strange = ([m.predict(*packed([d["text"] for d in some]))[2] >= m.threshold] for some in ([d for d in docs[2500:] if d["lang"] != out], [d for d in docs[2500:] if d["lang"] == out]))
+        assert np.mean(kept) >= 0.99 and np.mean(strange) <= 0.1
+
+
+def test_descent_against_plain_steps():
+    """The same steps in plain Python lists, one coordinate at a time."""
+    rng = np.random.default_rng(2)
+    bags = [(np.sort(rng.choice(40, 5, replace=False)), rng.random(5).astype(np.float32) / 5, int(rng.integers(0, 3))) for _ in range(12)]
+    table, bias = langid._descend(bags, 3, 2, np.random.default_rng(9))
+    rng = np.random.default_rng(9)
+    e = (rng.standard_normal((langid.BUCKETS, langid.DIM)) * 0.1)[:40].tolist()
+    w, b = (rng.standard_normal((langid.DIM, 3)) * 0.3).tolist(), [0.0] * 3
+    done = 0
+    for _ in range(2):
+        for k in rng.permutation(12):
+            ids, share, y = bags[k]
+            v = [sum(float(s) * e[i][d] for i, s in zip(ids, share)) for d in range(langid.DIM)]
+            z = [sum(v[d] * w[d][c] for d in range(langid.DIM)) + b[c] for c in range(3)]
+            top = [np.exp(x - max(z)) for x in z]
+            g = [t / sum(top) - (c == y) for c, t in enumerate(top)]
+            rate = langid.RATE * (1 - done / 24)
+            done += 1
+            back = [sum(w[d][c] * g[c] for c in range(3)) for d in range(langid.DIM)]
+            for c in range(3):
+                b[c] -= rate * 0.01 * g[c]
+                for d in range(langid.DIM):
+                    w[d][c] -= rate * 0.1 * v[d] * g[c]
+            for i, s in zip(ids, share):
+                for d in range(langid.DIM):
+                    e[i][d] -= rate * float(s) * 5**0.5 * back[d]
+    assert np.allclose(table[:40], np.array(e) @ np.array(w), atol=1e-3) and np.allclose(bias, b, atol=1e-4)
+
+
+def test_many_languages_and_long_texts(spark, monkeypatch):
+    rows = [(k, f"w{k % 260}x " * 30, f"l{k % 260}") for k in range(1300)] + [(9999, "w1x " * 200_000, "l1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.fit(df).langs) == 260
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 259)
+    with pytest.raises(ValueError):
+        langid.fit(df)
+
+
 def test_quality_on_held_out(spark):
     rows = {r.doc_id: r for r in queries.op8_quality(spark, SF).collect()}
     labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{SF}/labels.parquet").to_pylist()}
@@ -104,6 +151,38 @@ def test_flattened_trees_against_a_walk():
     assert ((got > 0.5) == y).mean() > 0.97
 
 
+def test_training_against_exhaustive_search():
+    """Every cut of every statistic tried by plain loops; rows to leaves by the same rule."""
+    rng = np.random.default_rng(7)
+    x = np.round(rng.standard_normal((90, 3)), 1)
+    y = ((x[:, 1] > 0.2) ^ (rng.random(90) < 0.1)).astype(float)
+    forest = quality.train(x, y, trees=4, depth=2)
+    cuts = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1]).tolist())) for f in range(3)]
+    total = [float(np.log(y.mean() / (1 - y.mean())))] * 90
+
+    def grow(rows, g, h, depth):
+        G, H = sum(g[r] for r in rows), sum(h[r] for r in rows)
+        best = None
+        for f in range(3) if depth else ():
+            for c in cuts[f]:
+                low = [r for r in rows if x[r, f] <= c]
+                if quality.LEAST_ROWS <= len(low) <= len(rows) - quality.LEAST_ROWS:
+                    a, b = sum(g[r] for r in low), sum(h[r] for r in low)
+                    gain = a * a / (b + 1) + (G - a) ** 2 / (H - b + 1) - G * G / (H + 1)
+                    if gain > 1e-6 and (best is None or gain > best[0] + 1e-12):
+                        best = (gain, f, c)
+        if best is None:
+            return dict.fromkeys(rows, -quality.RATE * G / (H + 1))
+        low = [r for r in rows if x[r, best[1]] <= best[2]]
+        return grow(low, g, h, depth - 1) | grow([r for r in rows if r not in set(low)], g, h, depth - 1)
+
+    for _ in range(4):
+        p = [1 / (1 + np.exp(-t)) for t in total]
+        value = grow(list(range(90)), [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p], 2)
+        total = [t + value[r] for r, t in enumerate(total)]
+    assert np.allclose(forest.score(x), [1 / (1 + np.exp(-t)) for t in total], atol=1e-9)
+
+
 def test_statistics_against_plain_counts():
     texts = ["Hello WORLD, this is it.\nThis is it.\n", "a!! b!! c", "", "x | y | z", "É é"]
     x = quality.statistics(*packed(texts))
