@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -17,10 +17,6 @@ def lit_bytes(data: bytes) -> Column:
     return F.lit(bytearray(data))
 
 
-def hex_of(data: Column) -> Column:
-    return F.lower(F.hex(data))
-
-
 def sha256(data: Column) -> Column:
     return F.sha2(data, 256)
 
@@ -49,10 +45,6 @@ def synchsafe(data: Column, start: int) -> Column:
     return (F.shiftleft(byte[0], 21)).bitwiseOR(F.shiftleft(byte[1], 14)).bitwiseOR(F.shiftleft(byte[2], 7)).bitwiseOR(byte[3])
 
 
-def png_crc32(data: Column) -> Column:
-    return F.crc32(data)
-
-
 def _entropy(data: bytes | None) -> float | None:
     if data is None:
         return None
@@ -63,16 +55,60 @@ def _entropy(data: bytes | None) -> float | None:
     return max(0.0, -float((p * np.log2(p)).sum()))
 
 
-@F.pandas_udf(DoubleType())
-def byte_entropy(data: pd.Series) -> pd.Series:
-    """Shannon entropy of the byte frequencies in bits; 0 for no bytes, null for null."""
-    return data.map(_entropy).astype("float64")
+#: Bytes that are counted in one go; bounds the memory of the temporaries.
+COUNTED = 1 << 22
 
 
-def rounded_entropy(value: Column) -> Column:
-    return F.format_string("%.3f", value)
+def flat_bytes(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary array's rows one after another (nulls are empty) and the n + 1 offsets of its rows."""
+    data = data.cast(pa.large_binary()).fill_null(b"")
+    at = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
+    raw = data.buffers()[2] if len(data) else None
+    return (np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None else np.zeros(0, np.uint8)), at - at[0]
 
 
-def log2_terms(count: Column, total: Column) -> Column:
-    p = count / total
-    return -p * F.log(p) / math.log(2)
+def byte_counts(data: pa.Array, groups: np.ndarray, n_groups: int) -> np.ndarray:
+    """How often each byte occurs in the rows of each group (numbered from 0): groups x 256."""
+    raw, at = flat_bytes(data)
+    out = np.zeros(n_groups * 256, np.int64)
+    for lo in range(0, len(raw), COUNTED):
+        hi = min(lo + COUNTED, len(raw))
+        first, last = np.searchsorted(at, lo, side="right") - 1, np.searchsorted(at, hi, side="left")
+        sizes = np.minimum(at[first + 1 : last + 1], hi) - np.maximum(at[first:last], lo)
+        out += np.bincount(np.repeat(groups[first:last].astype(np.int64) * 256, sizes) + raw[lo:hi], minlength=len(out))
+    return out.reshape(n_groups, 256)
+
+
+def _entropies(data: pa.Array) -> np.ndarray:
+    out = np.zeros(len(data))
+    for lo in range(0, len(data), 1024):
+        part = data.slice(lo, 1024)
+        n = byte_counts(part, np.arange(len(part)), len(part)).astype(np.float64)
+        p = n / np.maximum(n.sum(axis=1, keepdims=True), 1)
+        out[lo : lo + len(part)] = np.abs((p * np.log2(np.where(p > 0, p, 1))).sum(axis=1))
+    return out
+
+
+@F.arrow_udf(DoubleType())
+def byte_entropy(data: pa.Array) -> pa.Array:
+    """Shannon entropy of the byte frequencies in bits; 0 for no bytes, null for null."""
+    return pa.array(_entropies(data), mask=data.is_null().to_numpy(zero_copy_only=False))
+
+
+def byte_histogram(rows: DataFrame, part_col: str, data_col: str) -> DataFrame:
+    """part_col (whole numbers), byte (two hex digits) and how often it occurs; each task sends 256 sums a part at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int | None, np.ndarray] = {}
+        for batch in batches:
+            coded = batch.column(0).dictionary_encode(null_encoding="encode")
+            counts = byte_counts(batch.column(1), coded.indices.to_numpy(), len(coded.dictionary))
+            for part, n in zip(coded.dictionary.to_pylist(), counts):
+                total[part] = total.get(part, 0) + n
+        for part, n in total.items():
+            used = np.flatnonzero(n)
+            arrays = [pa.array([part] * len(used), pa.int64()), pa.array([f"{b:02X}" for b in used], pa.string()), pa.array(n[used])]
+            yield pa.RecordBatch.from_arrays(arrays, ["part", "byte", "n"])
+
+    counted = rows.select(F.col(part_col).cast("long").alias("part"), F.col(data_col).cast("binary").alias("data")).mapInArrow(run, "part long, byte string, n long")
+    return counted.groupBy(F.col("part").alias(part_col), "byte").agg(F.sum("n").alias("n"))

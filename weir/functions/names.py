@@ -159,3 +159,29 @@ def summary_of_failure(message: Column) -> Column:
     plain = F.regexp_replace(line, r"[^\x20-\x7E]", "?")
     cut = F.when(F.length(plain) > 80, F.concat(F.substring(plain, 1, 80), F.lit("…"))).otherwise(plain)
     return F.when(message.isNull(), "panic with non-string payload").when(cut == "", "empty panic message").otherwise(cut)
+
+
+# The types that count as sound in an encoder's output, and the ones that are the same.
+AUDIO_TYPES = ("audio/mpeg", "audio/aac", "audio/opus", "audio/flac", "audio/wav", "audio/x-wav", "audio/ogg")
+CANONICAL_AUDIO = {
+    "audio/opus": ("audio/ogg", "audio/opus"),
+    "audio/wav": ("audio/x-wav", "audio/wav"),
+    "audio/mpeg": ("audio/mpeg",),
+    "audio/aac": ("audio/aac",),
+    "audio/flac": ("audio/flac",),
+}
+UNKNOWN_AUDIO = "audio/unknown"
+
+
+def is_audio_type(mime: Column) -> Column:
+    return F.coalesce(mime.isin(*AUDIO_TYPES), F.lit(False))
+
+
+def canonical_audio(mime: Column) -> Column:
+    """One name for each kind of sound; others are unknown."""
+    return F.coalesce(looked_up(mime, CANONICAL_AUDIO), F.lit(UNKNOWN_AUDIO))
+
+
+def canonical_audio_of(mime: str) -> str:
+    """The same for a value at hand."""
+    return next((name for name, same in CANONICAL_AUDIO.items() if mime in same), UNKNOWN_AUDIO)

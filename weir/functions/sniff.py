@@ -5,7 +5,7 @@ The table is of this package's own making; the first entry that fits counts. Kin
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -80,6 +80,11 @@ def sniff_mime(data: Column) -> Column:
     return out
 
 
+def mime_of(data: bytes) -> str | None:
+    """The same for bytes at hand."""
+    return next((mime for mime, parts in SIGNATURES if all(data.startswith(bytes.fromhex(digits), at) for at, digits in parts)), None)
+
+
 def animated_webp(data: Column) -> Column:
     size = F.conv(F.concat(*[F.hex(F.substring(data, k, 1)) for k in (20, 19, 18, 17)]), 16, 10).cast("long")
     flags = F.conv(F.hex(F.substring(data, 21, 1)), 16, 10).cast("int")
@@ -87,27 +92,46 @@ def animated_webp(data: Column) -> Column:
     return F.coalesce(F.when((F.length(data) >= 21) & marked, (size >= 10) & (flags.bitwiseAND(F.lit(2)) != 0)), F.lit(False))
 
 
-def is_apng(data: bytes | None) -> bool:
-    """Whether an acTL chunk stands before the first IDAT or IEND, among the first 256 chunks."""
+#: Bytes of a PNG that go to Python; only where the walk over its chunks leaves them, the whole object does.
+AHEAD = 4096
+
+
+def is_apng(data: bytes | None, whole: bool = True) -> bool | None:
+    """Whether an acTL chunk stands before the first IDAT or IEND, among the first 256 chunks.
+
+    None if `data` is only the start of the object (not whole) and doesn't reach as far as the answer.
+    """
+    beyond = False if whole else None
     if data is None or len(data) < 16 or data[:8] != b"\x89PNG\r\n\x1a\n":
         return False
     at = 8
     for _ in range(256):
         if at + 8 > len(data):
-            return False
+            return beyond
         name = data[at + 4 : at + 8]
         if name in (b"acTL", b"IDAT", b"IEND"):
             return name == b"acTL"
         at += 12 + int.from_bytes(data[at : at + 4], "big")
         if at > len(data):
-            return False
+            return beyond
     return False
 
 
-@F.pandas_udf(BooleanType())
-def animated_png(data: pd.Series) -> pd.Series:
-    """Walks chunks, so it is Python; give it null where the data is no PNG."""
-    return data.map(is_apng).astype("bool")
+@F.arrow_udf(BooleanType())
+def animated_start(start: pa.Array, length: pa.Array) -> pa.Array:
+    return pa.array([is_apng(d, n is None or len(d or b"") >= n) for d, n in zip(start.to_pylist(), length.to_pylist())], pa.bool_())
+
+
+@F.arrow_udf(BooleanType())
+def animated_whole(data: pa.Array) -> pa.Array:
+    return pa.array([is_apng(d) for d in data.to_pylist()], pa.bool_())
+
+
+def animated_png(data: Column) -> Column:
+    """Walks chunks, so it is Python, but over the first bytes only wherever they tell."""
+    png = _at(data, 0, "89504E470D0A1A0A")
+    told = animated_start(F.when(png, F.substring(data, 1, AHEAD)), F.length(data))
+    return F.coalesce(told, animated_whole(F.when(told.isNull(), data)))
 
 
 def base_kind(by_mime: Column, by_name: Column) -> Column:
@@ -117,6 +141,5 @@ def base_kind(by_mime: Column, by_name: Column) -> Column:
 def classify(data: Column, name: Column, by_mime: Column, by_name: Column) -> Column:
     """The kind: other for double extensions; by type, else by name; stills with an animation marker are animated."""
     base = base_kind(by_mime, by_name)
-    png = F.when(_at(data, 0, "89504E470D0A1A0A"), data)
-    animated = (base == "image") & (animated_webp(data) | animated_png(png))
+    animated = (base == "image") & (animated_webp(data) | animated_png(data))
     return F.when(names.double_extension(name), "other").when(animated, "animated_image").otherwise(base)

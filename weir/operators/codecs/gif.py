@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,8 +81,8 @@ def _unpacked(data: bytes, least: int, wanted: int) -> np.ndarray:
     return np.frombuffer(b"".join(out), np.uint8)[:wanted]
 
 
-def frames(data: bytes, most: int, most_pixels: int) -> list[Frame]:
-    """All frames; limits are checked before a frame is decoded."""
+def frames(data: bytes, most: int, most_pixels: int, check: Callable[[], None] = lambda: None) -> list[Frame]:
+    """All frames; limits are checked, and check is called, before a frame is decoded."""
     dimensions(data)
     at, shared = 13, None
     if data[10] & 0x80:
@@ -105,6 +106,7 @@ def frames(data: bytes, most: int, most_pixels: int) -> list[Frame]:
         elif mark == 0x2C:
             if at + 11 > len(data):
                 raise Undecodable("GIF frame header is cut off")
+            check()
             left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
             at, colours = at + 10, shared
             if flags & 0x80:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 from . import Cleaned, Malformed
 
@@ -56,8 +56,8 @@ def header(data: bytes, limits: Mapping[str, int]) -> tuple[int, int]:
     return width, height
 
 
-def apng(data: bytes, limits: Mapping[str, int]) -> Cleaned:
-    """The critical and animation chunks; bytes behind IEND are dropped. limits: a policy's animated_image fields."""
+def apng(data: bytes, limits: Mapping[str, int], check: Callable[[], None] = lambda: None) -> Cleaned:
+    """The critical and animation chunks; bytes behind IEND are dropped. limits: a policy's animated_image fields; check: called for each chunk."""
     if data[:8] != SIGNATURE:
         _fail("not a PNG")
     width, height = header(data, limits)
@@ -65,6 +65,7 @@ def apng(data: bytes, limits: Mapping[str, int]) -> Cleaned:
         _fail("a frame has more pixels than allowed")
     kept, frames, stripped, cut = [SIGNATURE], None, 0, 0
     for name, body in chunks(data, limits["max_chunks"], limits["max_chunk_size"]):
+        check()
         if name == b"acTL" and len(body) >= 8:
             frames = int.from_bytes(body[:4], "big")
         if name in KEPT:

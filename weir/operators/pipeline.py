@@ -24,21 +24,29 @@ BROADCAST_POLICIES = 10_000
 
 
 def with_policy(objects: DataFrame, policies: DataFrame, default: str = "standard") -> DataFrame:
-    """Adds the policy struct `p`: of the row's policy_id, or of the default one."""
+    """Adds the policy struct `p`: of the row's policy_id, or of the default one.
+
+    Every object stays once: `p` is null where no policy has that id, and of policies that share an id the greatest (by
+    its fields in order) counts.
+    """
     fields = [c for c in policies.columns if c != "policy_id"]
-    table = policies.select(F.col("policy_id").alias("p_id"), F.struct(*fields).alias("p"))
+    table = policies.groupBy(F.col("policy_id").alias("p_id")).agg(F.max(F.struct(*fields)).alias("p"))
     if policies.limit(BROADCAST_POLICIES + 1).count() <= BROADCAST_POLICIES:
         table = F.broadcast(table)
     wanted = F.coalesce(F.col("policy_id"), F.lit(default)) if "policy_id" in objects.columns else F.lit(default)
-    return objects.withColumn("p_wanted", wanted).join(table, F.col("p_wanted") == F.col("p_id")).drop("p_wanted", "p_id")
+    return objects.withColumn("p_wanted", wanted).join(table, F.col("p_wanted") == F.col("p_id"), "left").drop("p_wanted", "p_id")
 
 
 def detected(objects: DataFrame) -> DataFrame:
-    """Adds size, ext, sniffed, by_name, by_mime, kind and disagree (of the normal types by name, bytes and declaration)."""
+    """Adds size, ext, sniffed, by_name, by_mime, kind and disagree (of the normal types by name, bytes and declaration).
+
+    The size is that of the payload, or the column `length` where the source left the payload out because of its size.
+    """
     data, name = F.col("payload"), F.col("file_name")
+    size = F.coalesce(F.length(data).cast("long"), F.col("length").cast("long")) if "length" in objects.columns else F.length(data).cast("long")
     return (
         objects.withColumn("file_name", F.nullif(name, F.lit("")))
-        .withColumn("size", F.length(data).cast("long"))
+        .withColumn("size", size)
         .withColumn("ext", names.extension(name))
         .withColumn("sniffed", sniff.sniff_mime(data))
         .withColumn("by_name", names.kind_of_extension(F.col("ext")))
@@ -50,13 +58,16 @@ def detected(objects: DataFrame) -> DataFrame:
 
 
 def defend(objects: DataFrame, policies: DataFrame, rules: Sequence[Rule] = (), default: str = "standard") -> DataFrame:
-    """One row for each object: error_kind, verdict, released, alerts, stages, artifact columns and parser_used."""
+    """One row for each object: error_kind, verdict, released, alerts, stages, artifact columns and parser_used.
+
+    An object whose policy isn't known is the error UnknownPolicy, one without bytes that isn't too large MissingPayload.
+    """
     p, name, data = F.col("p"), F.col("file_name"), F.col("payload")
     wanted = rule_set(rules)
     d = detected(with_policy(objects, policies, default))
     by_name, by_mime, kind, sniffed, declared = (F.col(c) for c in ("by_name", "by_mime", "kind", "sniffed", "declared_mime"))
     scanned = p["signature_scan_mode"] == "InputAndOutput"
-    d = d.withColumn("early_error", F.coalesce(G.too_large(F.col("size"), p), G.blocked_extension(F.col("ext"), p)))
+    d = d.withColumn("early_error", F.coalesce(F.when(p.isNull(), "UnknownPolicy"), G.too_large(F.col("size"), p), G.blocked_extension(F.col("ext"), p), F.when(data.isNull(), "MissingPayload")))
     live = F.col("early_error").isNull()
     d = d.withColumn("pre_hits", F.when(live & scanned, hits(data, wanted, p["signature_rules"])).otherwise(G.none_of("array<string>")))
     d = d.withColumn("pre_alerts", G.signature_alerts(F.col("pre_hits")))

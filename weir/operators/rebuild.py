@@ -45,13 +45,30 @@ def _still(data: bytes) -> tuple[Callable[[bytes], np.ndarray], tuple[int, int]]
     raise Undecodable("no decoder for this pixel format")
 
 
-def image(data: bytes, p: Mapping[str, Any]) -> dict[str, Any]:
+class Clock:
+    """The time that one object may take (null or 0: any); `check` is called wherever a handler may have worked for long."""
+
+    def __init__(self, milliseconds: int | None):
+        self.end = time.monotonic() + milliseconds / 1000 if milliseconds else None
+
+    def check(self) -> None:
+        if self.end is not None and time.monotonic() > self.end:
+            raise Malformed("Timeout", "the time for one object is over")
+
+    def left(self, seconds: float) -> float:
+        """The seconds that a child process may take: so many, but no more than are left."""
+        return seconds if self.end is None else max(0.001, min(seconds, self.end - time.monotonic()))
+
+
+def image(data: bytes, p: Mapping[str, Any], clock: Clock) -> dict[str, Any]:
     most = p["image"]["max_pixels"]
     try:
         decode, (width, height) = _still(data)
         if not width or not height or width * height > most:
             raise Malformed("Io", f"{width} x {height} pixels")
+        clock.check()
         pixels = decode(data)
+        clock.check()
     except Undecodable as e:
         raise Malformed("Image", str(e)) from None
     if p["image"]["output_format"] != "Png":
@@ -61,17 +78,15 @@ def image(data: bytes, p: Mapping[str, Any]) -> dict[str, Any]:
     return {"mime": "image/png", "output": png.encode(pixels), "alerts": [("image_metadata_stripped", note, 0)], "stages": [("ImageProbe", "Success", f"image probe succeeded width={width} height={height}")]}
 
 
-def animation(data: bytes, p: Mapping[str, Any], deadline: float) -> dict[str, Any]:
+def animation(data: bytes, p: Mapping[str, Any], clock: Clock) -> dict[str, Any]:
     limits = p["gif"]
     try:
         width, height = gif.dimensions(data)
-        shots = gif.frames(data, limits["max_frames"], limits["max_pixels_per_frame"])
+        shots = gif.frames(data, limits["max_frames"], limits["max_pixels_per_frame"], clock.check)
     except Undecodable as e:
         raise Malformed("Gif", str(e)) from None
     if not shots:
         raise Malformed("Gif", "no frames")
-    if time.monotonic() > deadline:
-        raise Malformed("Timeout", "the time for one object is over")
     alerts = [("gif_metadata_stripped", f"Rebuilt from {len(shots)} frames without comments and application data.", 0)]
     short = sum(s.delay < LEAST_DELAY for s in shots)
     for s in shots:
@@ -112,8 +127,9 @@ def native_video(data: bytes) -> dict[str, Any] | None:
     return None
 
 
-def sound_or_film(kind: str, data: bytes, mime: str | None, p: Mapping[str, Any]) -> dict[str, Any]:
+def sound_or_film(kind: str, data: bytes, mime: str | None, p: Mapping[str, Any], clock: Clock) -> dict[str, Any]:
     policy = dict(p[kind])
+    policy["ffmpeg_timeout_secs"] = clock.left(float(policy["ffmpeg_timeout_secs"]))
     if p["minimum_reconstruction_level"] == "Semantic":
         policy["mode"] = "RequireFfmpeg"
     if policy["mode"] == "RequireFfmpeg":
@@ -221,23 +237,31 @@ def read_again(kind: str, data: bytes, p: Mapping[str, Any]) -> tuple[bool, str]
         return False, f"reader failed: {type(e).__name__}"
 
 
+def remuxed_animation(data: bytes, p: Mapping[str, Any], clock: Clock) -> dict[str, Any]:
+    c = apng.apng(data, p["animated_image"], clock.check)
+    return _cleaned(c, "apng_metadata_stripped", f"animation remux frames={c.note}", "ImageProbe", [])
+
+
+#: The handler of each kind of object: bytes, sniffed type, policy and clock in; mime, output, alerts and stages out.
+Handler = Callable[[bytes, "str | None", Mapping[str, Any], Clock], dict[str, Any]]
+HANDLERS: dict[str, Handler] = {
+    "image": lambda data, mime, p, clock: image(data, p, clock),
+    "gif": lambda data, mime, p, clock: animation(data, p, clock),
+    "animated_image": lambda data, mime, p, clock: remuxed_animation(data, p, clock),
+    "audio": lambda data, mime, p, clock: sound_or_film("audio", data, mime, p, clock),
+    "video": lambda data, mime, p, clock: sound_or_film("video", data, mime, p, clock),
+    "other": lambda data, mime, p, clock: generic(data),
+}
+
+
 def one(data: bytes | None, kind: str | None, mime: str | None, p: Mapping[str, Any] | None) -> dict[str, Any] | None:
     """A row's result; None for a row that is decided already."""
     if data is None or kind is None or p is None:
         return None
-    deadline = time.monotonic() + (p["max_handler_duration_ms"] or 10**9) / 1000
+    clock = Clock(p["max_handler_duration_ms"])
     try:
-        if kind == "image":
-            made = image(data, p)
-        elif kind == "gif":
-            made = animation(data, p, deadline)
-        elif kind == "animated_image":
-            c = apng.apng(data, p["animated_image"])
-            made = _cleaned(c, "apng_metadata_stripped", f"animation remux frames={c.note}", "ImageProbe", [])
-        elif kind in ("audio", "video"):
-            made = sound_or_film(kind, data, mime, p)
-        else:
-            made = generic(data)
+        made = HANDLERS.get(kind, HANDLERS["other"])(data, mime, p, clock)
+        clock.check()
     except Malformed as e:
         made = {"error_kind": e.kind, "error_message": str(e)}
     except Exception as e:  # noqa: BLE001  hostile bytes must not fail the task

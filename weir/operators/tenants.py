@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,19 +70,34 @@ def remove(slot: Slot) -> None:
 EVENTS = "seq long, tenant_id string, version long, kind string, payload string, provenance string"
 
 
+FOLDED = "seq long, tenant_id string, outcome string, version long, policy string, limits string, provenance string"
+
+
 def fold(events: DataFrame) -> DataFrame:
-    """events (see EVENTS; payload null removes): seq, tenant_id, outcome and the slot after each event."""
+    """events (see EVENTS; payload null removes): seq, tenant_id, outcome and the slot after each event.
+
+    A tenant's events come sorted and are taken one by one with the slot as the only state, however long its history is.
+    """
+    names = [c.split()[0] for c in EVENTS.split(", ")]
+    dealt = events.select(*names).repartition("tenant_id").sortWithinPartitions("tenant_id", "seq")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        slot, out = Slot(), []
-        for r in rows.sort_values("seq").itertuples(index=False):
-            payload = None if pd.isna(r.payload) else r.payload
-            outcome = apply(slot, r.kind, int(r.version), payload, None if pd.isna(r.provenance) else r.provenance)
-            shown = (slot.limits_provenance or slot.provenance) if slot.limits is not None else slot.provenance
-            out.append((r.seq, key[0], outcome, slot.version, slot.policy, slot.limits, shown))
-        return pd.DataFrame(out, columns=["seq", "tenant_id", "outcome", "version", "policy", "limits", "provenance"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, last = Slot(), (None,)
+        for batch in batches:
+            out = []
+            for seq, tenant, version, kind, payload, provenance in zip(*(batch.column(c).to_pylist() for c in names)):
+                if (tenant, True) != last:
+                    slot, last = Slot(), (tenant, True)
+                outcome = apply(slot, kind, version, payload, provenance)
+                shown = (slot.limits_provenance or slot.provenance) if slot.limits is not None else slot.provenance
+                out.append((seq, tenant, outcome, slot.version, slot.policy, slot.limits, shown))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), _FOLDED_TYPES)] if out else [pa.array([], t) for t in _FOLDED_TYPES]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FOLDED.split(", ")])
 
-    return events.groupBy("tenant_id").applyInPandas(run, "seq long, tenant_id string, outcome string, version long, policy string, limits string, provenance string")
+    return dealt.mapInArrow(run, FOLDED)
+
+
+_FOLDED_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
 
 def latest(folded: DataFrame) -> DataFrame:
@@ -102,10 +117,42 @@ def upsert_only(events: DataFrame, tenant: str, seq: str, version: str) -> DataF
     return events.withColumn("outcome", F.when(top.isNull() | (F.col(version) > top), "upsert_applied").otherwise("upsert_ignored_stale"))
 
 
+#: Up to this many active slots the table (some 100 bytes a row) is broadcast, so that no payload is shuffled by tenant.
+BROADCAST_SLOTS = 200_000
+#: Beyond, objects are joined by tenant and one of so many salts, as a tenant may have a third of all objects.
+SALTS = 32
+
+
 def resolve(objects: DataFrame, slots: DataFrame, fallback: str = "standard") -> DataFrame:
     """Adds policy_id: the tenant's active one, else the fallback; a null tenant has no slot."""
     active = slots.filter(F.col("policy").isNotNull()).select(F.col("tenant_id").alias("s_tenant"), F.col("policy").alias("s_policy"))
-    return objects.join(active, F.col("tenant_id") == F.col("s_tenant"), "left").withColumn("policy_id", F.coalesce("s_policy", F.lit(fallback))).drop("s_tenant", "s_policy")
+    fits = F.col("tenant_id") == F.col("s_tenant")
+    if active.limit(BROADCAST_SLOTS + 1).count() <= BROADCAST_SLOTS:
+        both = objects.join(F.broadcast(active), fits, "left")
+    else:
+        salted = objects.withColumn("s_salt", F.pmod(F.xxhash64("object_id"), F.lit(SALTS)))
+        spread = active.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = salted.join(spread, fits & (F.col("s_salt") == F.col("t_salt")), "left").drop("s_salt", "t_salt")
+    return both.withColumn("policy_id", F.coalesce("s_policy", F.lit(fallback))).drop("s_tenant", "s_policy")
+
+
+def change_slots(slots: DataFrame, changes: DataFrame) -> DataFrame:
+    """slots (tenant_id, version, policy, limits, provenance) after unconditional changes (seq, tenant_id, policy, provenance).
+
+    A null policy removes. Each change is the tenant's next version, whatever it was, drops the media limits, and leaves a
+    tombstone where it removes, also for an unknown tenant; so of several changes of a tenant the last one counts, and
+    the version rises by their number.
+    """
+    last = changes.groupBy(F.col("tenant_id").alias("c_tenant")).agg(F.count("*").alias("c_n"), F.max_by(F.struct("policy", "provenance"), "seq").alias("c_last"))
+    both = slots.join(last, F.col("tenant_id").eqNullSafe(F.col("c_tenant")) & F.col("c_n").isNotNull(), "full_outer")
+    changed = F.col("c_n").isNotNull()
+    return both.select(
+        F.when(changed, F.col("c_tenant")).otherwise(F.col("tenant_id")).alias("tenant_id"),
+        (F.coalesce("version", F.lit(0)) + F.coalesce("c_n", F.lit(0))).cast("long").alias("version"),
+        F.when(changed, F.col("c_last.policy")).otherwise(F.col("policy")).alias("policy"),
+        F.when(~changed, F.col("limits")).alias("limits"),
+        F.when(changed & F.col("c_last.policy").isNotNull(), F.col("c_last.provenance")).when(~changed, F.col("provenance")).alias("provenance"),
+    )
 
 
 def effective_policy(base: Mapping[str, Any] | None, limits: Mapping[str, Any] | None, fallback: Mapping[str, Any]) -> dict[str, Any] | None:
@@ -187,10 +234,50 @@ def key_usage(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def canonical_snapshot(kind: str, content: Column, tenant_id: Column, version: Column, provenance: Column) -> Column:
+    """What is signed of a 'policy' or 'media' snapshot, from its own fields: compact JSON in this order, nulls kept.
+
+    content and provenance are JSON texts (canonical themselves) or null.
+    """
+    name = F.regexp_extract(F.to_json(F.struct(tenant_id.alias("v"))), '(?s)^\\{"v":(.*)\\}$', 1)
+    part = "policy" if kind == "policy" else "limits"
+    null = F.lit("null")
+    return F.concat(F.lit('{"tenant_id":'), name, F.lit(',"version":'), version.cast("string"), F.lit(f',"{part}":'), F.coalesce(content, null), F.lit(',"provenance":'), F.coalesce(provenance, null), F.lit("}"))
+
+
+def accepted_by(form: str, canonical: Column, secret: bytes | None = None, ring: KeyRing | None = None, now_ms: Column | int = 0) -> Column:
+    """Whether a snapshot's signature holds: form is plain, sha (column sha256), hmac or ring (key_id and hmac_sha256)."""
+    data = canonical.cast("binary")
+    if form == "plain":
+        return F.lit(True)
+    if form == "sha":
+        good = F.sha2(data, 256) == F.col("sha256")
+    elif form == "hmac":
+        good = hmac_sha256(secret or b"", data) == F.col("hmac_sha256")
+    elif form == "ring":
+        good = verification(canonical, F.col("key_id"), F.col("hmac_sha256"), ring or KeyRing(), now_ms).isin("verified_current", "verified_in_grace")
+    else:
+        raise ValueError(f"unknown form {form}")
+    return F.coalesce(good, F.lit(False))
+
+
+def imported(snapshots: DataFrame, kind: str, form: str, secret: bytes | None = None, ring: KeyRing | None = None, now_ms: Column | int = 0) -> DataFrame:
+    """One of the eight imports: 'policy' or 'media' snapshots in one of the four forms, folded in order of `seq`.
+
+    snapshots: seq, tenant_id, version, payload (canonical JSON of the policy or limits; null removes), provenance (JSON
+    or null) and the columns of the form. The signature is checked over the canonical form of these very fields; rejected
+    snapshots come out as such and change nothing.
+    """
+    canonical = canonical_snapshot(kind, F.col("payload"), F.col("tenant_id"), F.col("version"), F.col("provenance"))
+    events = snapshots.withColumn("kind", F.lit(kind)).withColumn("accepted", accepted_by(form, canonical, secret, ring, now_ms))
+    return signed_import(events, F.col("accepted"))
+
+
 def signed_import(events: DataFrame, accepted: Column) -> DataFrame:
-    """Folds the events whose signature is accepted; the others come out as rejected and change nothing."""
-    good = fold(events.filter(accepted).select(*[c.split()[0] for c in EVENTS.split(", ")]))
-    bad = events.filter(~accepted).select("seq", "tenant_id", F.lit("rejected_invalid_signature").alias("outcome"), *[F.lit(None).cast(t).alias(c) for c, t in (("version", "long"), ("policy", "string"), ("limits", "string"), ("provenance", "string"))])
+    """Folds the events whose signature is accepted; the others (also where that is null) come out as rejected and change nothing."""
+    sound = F.coalesce(accepted, F.lit(False))
+    good = fold(events.filter(sound).select(*[c.split()[0] for c in EVENTS.split(", ")]))
+    bad = events.filter(~sound).select("seq", "tenant_id", F.lit("rejected_invalid_signature").alias("outcome"), *[F.lit(None).cast(t).alias(c) for c, t in (("version", "long"), ("policy", "string"), ("limits", "string"), ("provenance", "string"))])
     return good.unionByName(bad)
 
 

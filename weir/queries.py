@@ -149,9 +149,8 @@ def entropy_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT part, byte, count(*)::BIGINT AS n FROM b GROUP BY ALL"""
 )
 def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("part"), F.hex(F.encode("text", "UTF-8")).alias("h"))
-    pairs = F.explode(F.filter(F.split("h", "(?<=\\G..)"), lambda x: x != "")).alias("byte")
-    return d.select("part", pairs).groupBy("part", "byte").agg(F.count("*").alias("n"))
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("part"), F.encode("text", "UTF-8").alias("data"))
+    return binary.byte_histogram(d, "part", "data")
 
 
 @query("""SELECT p_partkey, ((p_size & 127) << 21) | ((p_size // 3) << 14) | ((p_partkey % 128) << 7) | (p_partkey % 100) AS size FROM part""")
