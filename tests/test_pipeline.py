@@ -36,6 +36,59 @@ def test_stills_are_rebuilt_and_released(spark):
     assert [s.stage for s in a.stages] == ["PreScan", "Detect", "Rebuild", "ImageProbe", "Rebuild", "SignatureScan", "OutputValidation", "OutputValidation"]
 
 
+def test_no_object_vanishes(spark):
+    cases = [("a.png", None, B.still()), ("b.png", None, B.still(), "nosuch"), ("c.png", None, None), ("d.png", None, b""), ("e.exe", None, None), ("f.png", None, B.still(), "strict")]
+    twice = policy.policy_table(spark).unionByName(policy.policy_table(spark))
+    for table in (policy.policy_table(spark), twice):
+        rows = [(k, c[0], c[1], None, "incoming", None if c[2] is None else bytearray(c[2]), c[3] if len(c) > 3 else None) for k, c in enumerate(cases)]
+        out = pipeline.defend(spark.createDataFrame(rows, SCHEMA), table).orderBy("object_id").collect()
+        assert [r.error_kind for r in out[:3]] == [None, "UnknownPolicy", "MissingPayload"] and out[4].error_kind == "BlockedExtension" and len(out) == 6
+        assert [r.released for r in out] == [True, False, False, False, False, True] and out[1].verdict is None and out[0].duration_ms >= 0
+    slots = spark.createDataFrame([("t", 1, "nosuch")], "tenant_id string, version long, policy string")
+    one = spark.createDataFrame([(1, "a.png", None, "t", "incoming", bytearray(B.still()))], SCHEMA.rsplit(",", 1)[0])
+    assert [r.error_kind for r in pipeline.defend_for_tenants(one, slots, policy.policy_table(spark)).collect()] == ["UnknownPolicy"]
+
+
+def test_files_above_the_limit_are_too_large(spark, tmp_path):
+    from weir.sources.derived import files
+
+    (tmp_path / "small.png").write_bytes(B.still())
+    (tmp_path / "large.png").write_bytes(B.still() + b"x" * 5000)
+    limit = len(B.still()) + 100
+    table = policy.policy_table(spark, {"standard": policy.profile("standard", max_input_size_bytes=limit)})
+    found = files(spark, str(tmp_path), limit)
+    out = {r.file_name: r for r in pipeline.defend(found, table).join(found.select("object_id", "file_name"), "object_id").collect()}
+    assert out["large.png"].error_kind == "FileTooLarge" and out["small.png"].released
+
+
+def test_time_for_one_object_is_limited():
+    from weir.operators import rebuild
+
+    p = {**policy.STRICT, "max_handler_duration_ms": 1e-6}
+    for kind, data in (("image", B.still()), ("gif", B.moving()), ("animated_image", B.animated()), ("audio", B.wav())):
+        assert rebuild.one(data, kind, None, p)["error_kind"] in ("Timeout", "Audio"), kind
+    assert set(rebuild.HANDLERS) == {"image", "gif", "animated_image", "audio", "video", "other"}
+
+
+def test_evidence_is_listed_with_checksums(spark, tmp_path):
+    folder = tmp_path / "run"
+    (folder / "sub").mkdir(parents=True)
+    for name in ("b.txt", "B.txt", "sub/a"):
+        (folder / name).write_text(name)
+    sinks.write_manifest(spark, "file://" + str(folder))
+    lines = [x for f in sorted((folder / "SHA256SUMS").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == [f"{hashlib.sha256(n.encode()).hexdigest()}  {n}" for n in ("B.txt", "b.txt", "sub/a")]
+
+
+def test_artifacts_in_a_store(spark, tmp_path):
+    results = spark.createDataFrame([(1, True, "image/png", bytearray(b"one"))], "object_id long, released boolean, mime string, output binary")
+    folder = "file://" + str(tmp_path / "out")
+    for _ in range(2):
+        assert [(r.problem, (tmp_path / "out" / "1.png").read_bytes()) for r in sinks.write_artifacts(results, folder).collect()] == [(None, b"one")]
+    (tmp_path / "out" / "1.png").write_bytes(b"other")
+    assert [r.problem for r in sinks.write_artifacts(results, folder).collect()] == ["the file exists"]
+
+
 def test_output_is_a_fixed_point(spark):
     first = decide(spark, [("a.png", None, B.still(1, b"x"))])[0]
     assert bytes(decide(spark, [("a.png", None, bytes(first.output))])[0].output) == bytes(first.output)

@@ -151,3 +151,30 @@ def test_published_versions(spark, tmp_path):
     assert T.publish(one, folder, 0) and not T.publish(two, folder, 0) and T.publish(two, folder, 1)
     version, slots = T.published(spark, folder)
     assert version == 2 and slots.count() == 2
+
+
+def test_table_changes_equal_changes_one_by_one(spark):
+    slots = [("a", 4, "p", "l", "w"), ("b", 2, None, None, None), ("c", 1, "q", None, "x")]
+    changes = [(1, "a", "n", "z"), (2, "b", "m", None), (3, "a", None, None), (4, "d", None, None), (5, "b", "o", "y")]
+    got = {r.tenant_id: tuple(r)[1:] for r in T.change_slots(spark.createDataFrame(slots, "tenant_id string, version long, policy string, limits string, provenance string"), spark.createDataFrame(changes, "seq long, tenant_id string, policy string, provenance string")).collect()}
+    state = {t: T.Slot(v, p, w, li) for t, v, p, li, w in slots}
+    for _, t, p, w in changes:
+        T.upsert(state.setdefault(t, T.Slot()), p, w)
+    assert got == {t: (s.version, s.policy, s.limits, s.provenance) for t, s in state.items()}
+
+
+def test_large_slot_tables_resolve_alike(spark, monkeypatch):
+    objects = spark.createDataFrame([(k, f"t{k % 5}" if k % 7 else None) for k in range(60)], "object_id long, tenant_id string")
+    slots = spark.createDataFrame([("t1", 1, "strict"), ("t2", 1, None)], "tenant_id string, version long, policy string")
+    want = sorted(map(tuple, T.resolve(objects, slots).collect()))
+    monkeypatch.setattr(T, "BROADCAST_SLOTS", 0)
+    assert sorted(map(tuple, T.resolve(objects, slots).collect())) == want and len(want) == 60
+
+
+def test_canonical_snapshots_are_the_signed_texts(spark):
+    import json
+
+    rows = [('t"é', 3, {"audio_max_channels": 2}, {"actor": "x"}), ("u", 9, None, None)]
+    df = spark.createDataFrame([(t, v, None if li is None else T.canonical_json({n: li.get(n) for n in T.LIMITS}), None if p is None else json.dumps(p, separators=(",", ":"))) for t, v, li, p in rows], "tenant_id string, version long, payload string, provenance string")
+    got = [r[0] for r in df.select(T.canonical_snapshot("media", F.col("payload"), F.col("tenant_id"), F.col("version"), F.col("provenance"))).collect()]
+    assert got == [T.media_payload(t, v, li, p) for t, v, li, p in rows]

@@ -56,6 +56,21 @@ def test_transcoding(tmp_path):
         tools.transcode("video", b"", None, film, True)
 
 
+def test_types_of_an_encoders_output(tmp_path):
+    """The output has to be sound, of the planned type, and where the codec is kept of the original's."""
+    keep = {**policy.STANDARD["audio"], "output_codec": "KeepOriginalWhenPossible"}
+    cases = [("audio/mpeg", B.mp3(False), None), ("audio/mpeg", B.still(), "ffmpeg_non_audio_mime_audio"), ("audio/mpeg", B.wav(), "ffmpeg_audio_mime_mismatch"), ("audio/wav", B.wav(), None), ("audio/x-wav", B.wav(), None)]
+    for k, (mime, output, code) in enumerate(cases):
+        os.makedirs(tmp_path / str(k), exist_ok=True)
+        p = {**keep, **fake(tmp_path / str(k), output)}
+        got = tools.transcode("audio", b"input", mime, p, False)
+        assert [a[0] for a in got["alerts"]] == ([code] if code else []) and got["mime"] == ("audio/raw" if code else {"audio/mpeg": "audio/mpeg"}.get(mime, "audio/wav"))
+        if code:
+            with pytest.raises(Malformed):
+                tools.transcode("audio", b"input", mime, p, True)
+    assert [tools.names.canonical_audio_of(m) for m in ("audio/ogg", "audio/opus", "audio/x-wav", "audio/amr")] == ["audio/opus", "audio/opus", "audio/wav", "audio/unknown"]
+
+
 def test_original_codec():
     keep = {**policy.STANDARD["audio"], "output_codec": "KeepOriginalWhenPossible"}
     assert tools.plan_of(keep, "audio/x-flac")[0][1] == "audio/flac" and tools.plan_of(keep, "audio/amr") == (tools.CODECS["Mp3"], False)

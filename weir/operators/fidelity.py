@@ -17,7 +17,10 @@ def duration_error(a: Column, b: Column) -> Column:
 
 
 def si_sdr(pairs: DataFrame, keys: tuple[str, ...] = ("case_id", "channel")) -> DataFrame:
-    """Scale-invariant signal-to-distortion ratio in dB of samples (keys, pos, reference, estimate), means removed."""
+    """Scale-invariant signal-to-distortion ratio in dB of samples (keys, pos, reference, estimate), means removed.
+
+    Fewer than three samples have none (null): without their mean, two are always in proportion.
+    """
     sums = pairs.groupBy(*keys).agg(
         F.count("*").alias("n"),
         *[F.sum(F.col(a) * F.col(b)).alias(f"{a[0]}{b[0]}") for a, b in (("reference", "reference"), ("reference", "estimate"), ("estimate", "estimate"))],
@@ -29,7 +32,8 @@ def si_sdr(pairs: DataFrame, keys: tuple[str, ...] = ("case_id", "channel")) ->
     ee = F.col("ee") - F.col("se") * F.col("se") / F.col("n")
     target = re * re / F.when(rr > 0, rr)
     noise = F.greatest(ee - target, F.lit(1e-30))
-    return sums.select(*keys, (10 * F.log10(F.greatest(target, F.lit(1e-30)) / noise)).alias("si_sdr_db"))
+    ratio = 10 * F.log10(F.greatest(target, F.lit(1e-30)) / noise)
+    return sums.select(*keys, F.when(F.col("n") > 2, ratio).alias("si_sdr_db"))
 
 
 def shared_lag(pairs: DataFrame, case: str = "case_id", most: int = MAX_LAG, window: int = WINDOW) -> DataFrame:

@@ -129,6 +129,7 @@ def defend(objects: DataFrame, policies: DataFrame, rules: Sequence[Rule] = (),
         "sha256",
         F.when(released, out).otherwise(F.when(ok, F.lit(bytearray(b"")))).alias("output"),
         F.when(ok, F.when(F.col("stopped"), "pre_scan_blocked").otherwise(F.col("kind"))).alias("parser_used"),
+        F.when(ok, r["elapsed_ms"]).alias("duration_ms"),
     )
     # The metrics also keep filters on the result above the chain of expressions, which they would multiply when pushed down.
     return observed(results, f"weir-{uuid.uuid4().hex}")

@@ -258,7 +258,7 @@ def one(data: bytes | None, kind: str | None, mime: str | None, p: Mapping[str,
     """A row's result; None for a row that is decided already."""
     if data is None or kind is None or p is None:
         return None
-    clock = Clock(p["max_handler_duration_ms"])
+    began, clock = time.monotonic(), Clock(p["max_handler_duration_ms"])
     try:
         made = HANDLERS.get(kind, HANDLERS["other"])(data, mime, p, clock)
         clock.check()
@@ -274,6 +274,7 @@ def one(data: bytes | None, kind: str | None, mime: str | None, p: Mapping[str,
         made["read_ok"], made["read_detail"] = read_again(kind, made["output"], p)
     made["alerts"] = [dict(zip(("code", "message", "severity"), a)) for a in made.get("alerts", [])]
     made["stages"] = [dict(zip(("stage", "status", "detail"), s)) for s in made.get("stages", [])]
+    made["elapsed_ms"] = int((time.monotonic() - began) * 1000)
     return made
 
 
@@ -291,6 +292,7 @@ _TYPE = pa.struct(
         ("read_detail", pa.string()),
         ("stripped", pa.int64()),
         ("stripped_bytes", pa.int64()),
+        ("elapsed_ms", pa.int64()),
     ]
 )
 

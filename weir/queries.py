@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
@@ -10,12 +11,12 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType
+from pyspark.sql.types import BinaryType, BooleanType, StringType
 
 from weir.functions import binary, names, sniff
 from weir.operators import fidelity, gates, pipeline, rebuild, signatures, tenants
 from weir.plans import policy
-from weir.sources.derived import OBJECTS_SQL, derived_objects
+from weir.sources.derived import OBJECTS_SQL, derived_objects, media_objects
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -307,18 +308,6 @@ def kind_and_type_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("object_id", gates.kind_mismatch(a, b, p).alias("kind_error"), gates.metadata_mismatch(F.col("disagree"), p).alias("type_error"), codes.alias("alerts"), gates.detect_status(a, b, p).alias("status"))
 
 
-@query(with_objects("""SELECT object_id, CASE ext WHEN 'json' THEN json_valid(nullif(decode(payload), ''))
-  WHEN 'pdf' THEN starts_with(hx, '255044462D') AND regexp_matches(hx, '^(..)*?2525454F46')
-  WHEN 'xml' THEN starts_with(ltrim(decode(payload)), '<')
-  WHEN 'zip' THEN substr(hx, 1, 8) IN ('504B0304', '504B0506', '504B0708') ELSE true END AS whole
-FROM named WHERE ext IN ('pdf', 'zip', 'txt') AND NOT regexp_matches(hx, '^(..)*?(8950|FFD8|CFFA)')""", NAMED_SQL))
-def structured_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _detected(spark, sf_dir).filter(F.col("ext").isin("pdf", "zip", "txt"))
-    odd = F.array(*[F.lit(bytearray.fromhex(x)) for x in ("8950", "FFD8", "CFFA")])
-    o = o.filter(~F.exists(odd, lambda x: F.contains(F.col("payload"), x)))
-    return o.select("object_id", gates.structured(F.col("ext"), F.col("payload")).alias("whole"))
-
-
 def _finite(number: str) -> float:
     value = float(number)
     if math.isinf(value) or not re.match("[-0-9]", number):  # out of range, or NaN and Infinity, which aren't JSON
@@ -345,9 +334,13 @@ def _json_probe(data: pa.Array) -> pa.Array:
     return pa.array([None if d is None else _json_whole(d) for d in data.to_pylist()], pa.bool_())
 
 
-@query()
-def structured_probe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every object's answer: of all extensions, and of bytes that aren't UTF-8, which the other engine can't decode.
+@query(with_objects("""SELECT object_id, ext, CASE ext WHEN 'json' THEN coalesce(try(json_valid(nullif(decode(payload), ''))), false)
+  WHEN 'pdf' THEN starts_with(hx, '255044462D') AND regexp_matches(hx, '^(..)*?2525454F46')
+  WHEN 'xml' THEN coalesce(try(starts_with(ltrim(decode(payload), ' ' || chr(9) || chr(10) || chr(13)), '<')), false)
+  WHEN 'zip' THEN substr(hx, 1, 8) IN ('504B0304', '504B0506', '504B0708') ELSE true END AS whole
+FROM named""", NAMED_SQL))
+def structured_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object's answer: of all extensions, and of bytes that aren't UTF-8.
 
     JSON is judged strictly: try_parse_json of the gate takes single quotes and a second value, and refuses repeated keys.
     """
@@ -497,7 +490,8 @@ def strip_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stripped(framed, "wav")
 
 
-@query(_T + """SELECT doc_id, sha256(encode('fLaC') || unhex('80000022') || encode(repeat('s', 34)) || t) AS sha256, 2::BIGINT AS stripped, (4 + n + 4 + 3)::BIGINT AS stripped_bytes FROM t WHERE n > 0""")
+@query(_T + """SELECT doc_id, CASE WHEN n > 0 THEN sha256(encode('fLaC') || unhex('80000022') || encode(repeat('s', 34)) || t) END AS sha256, CASE WHEN n > 0 THEN 2 ELSE 0 END::BIGINT AS stripped,
+ CASE WHEN n > 0 THEN 4 + n + 4 + 3 ELSE 0 END::BIGINT AS stripped_bytes FROM t""")
 def strip_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     framed = _texts(spark, sf_dir).withColumn("f", F.concat(_b(b"fLaC\x00\x00\x00\x22" + b"s" * 34 + b"\x04"), _be(F.col("n"), 3), "t", _b(b"\x86\x00\x00\x03pic"), "t"))
     return _stripped(framed, "flac")
@@ -592,6 +586,54 @@ def pre_scan_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("object_id", F.array_join(F.transform("alerts", lambda a: a["code"]), ",").alias("alerts"), "sha256", "mime")
 
 
+_POLICY_IDS = ["standard", "nosuch", None, "strict", "standard"]
+
+
+@query(with_objects("""SELECT object_id, CASE WHEN object_id % 5 = 1 THEN 'UnknownPolicy' WHEN early_error IS NOT NULL THEN early_error WHEN object_id % 5 = 3 THEN 'other' WHEN error IS NULL THEN 'none' ELSE error END AS error FROM decided""", DETECTED_SQL, _FULL_SQL))
+def unknown_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object has a row: one whose policy isn't in the table is an error, and a policy that stands there twice counts once."""
+    wanted = F.element_at(F.array(*[F.lit(x).cast("string") for x in _POLICY_IDS]), (F.col("object_id") % 5 + 1).cast("int"))
+    policies = policy.policy_table(spark)
+    out = pipeline.defend(derived_objects(spark, sf_dir).withColumn("policy_id", wanted), policies.unionByName(policies))
+    strict = (F.col("object_id") % 5 == 3) & ~F.coalesce(F.col("error_kind") == "BlockedExtension", F.lit(False))
+    return out.select("object_id", F.when(strict, "other").otherwise(F.coalesce("error_kind", F.lit("none"))).alias("error"))
+
+
+@F.arrow_udf(StringType())
+def _content_digest(data: pa.Array, mime: pa.Array) -> pa.Array:
+    """Of stills and animations the digest of the decoded pixels (RGBA), else that of the bytes."""
+    from weir.operators.codecs import gif, png
+
+    out = []
+    for d, m in zip(data.to_pylist(), mime.to_pylist()):
+        content = d
+        if d and m == "image/png":
+            content = png.decode(d).tobytes()
+        elif d and m == "image/gif":
+            content = b"".join(f.rgba.tobytes() for f in gif.frames(d, 100, 1 << 24))
+        out.append(None if not d else hashlib.sha256(content).hexdigest())
+    return pa.array(out, pa.string())
+
+
+@query(f"""WITH o AS (SELECT doc_id, doc_id % 4 AS k, encode(coalesce(text, '')) AS t, strlen(coalesce(text, '')) + 1 AS m FROM documents)
+SELECT doc_id AS object_id, CASE WHEN k = 3 THEN 'FileTypeMismatch' END AS error_kind, CASE WHEN k < 3 THEN 'clean' END AS verdict, k < 3 AS released,
+ CASE k WHEN 0 THEN 'audio/wav' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/gif' END AS mime,
+ CASE k WHEN 0 THEN sha256(encode('RIFF') || {_LE4.format('(36 + m + m % 2)')} || encode('WAVEfmt ') || unhex('10000000') || unhex('01000100401F0000401F000001000800') || encode('data') || {_LE4.format('m')} || unhex('80') || t || CASE WHEN m % 2 = 1 THEN unhex('00') ELSE unhex('') END)
+   WHEN 1 THEN sha256(unhex(regexp_replace('80' || hex(t), '(..)', '\\1\\1\\1FF', 'g')))
+   WHEN 2 THEN sha256(unhex('000000FF')) END AS content_sha256,
+ CASE k WHEN 0 THEN 'AudioProbe,Rebuild' WHEN 1 THEN 'ImageProbe' WHEN 2 THEN 'GifProbe' END AS handler_stages,
+ CASE k WHEN 0 THEN 'audio_metadata_stripped' WHEN 1 THEN 'image_metadata_stripped' WHEN 2 THEN 'gif_metadata_stripped' END AS alerts
+FROM o""")
+def released_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole media files through the pipeline: released without metadata, with the same samples and pixels."""
+    out = pipeline.defend(media_objects(spark, sf_dir), policy.policy_table(spark))
+    handler = F.slice(F.transform("stages", lambda s: s["stage"]), 4, F.when(F.col("mime") == "audio/wav", 2).otherwise(1))
+    return out.select(
+        "object_id", "error_kind", "verdict", "released", "mime", _content_digest("output", "mime").alias("content_sha256"),
+        F.array_join(handler, ",").alias("handler_stages"), F.array_join(F.transform("alerts", lambda a: a["code"]), ",").alias("alerts"),
+    )
+
+
 # --- tenants --------------------------------------------------------------------------------------------------------
 
 
@@ -633,7 +675,26 @@ def slot_import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tenants.import_report(tenants.fold(_policy_events(spark, sf_dir, False)))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, round(value * 10)::BIGINT AS v, event_id % 3 = 0 AS media, event_id % 5 = 0 AS gone FROM events
+), f AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS k, NULL::BIGINT AS version, false AS policy, false AS limits, NULL::VARCHAR AS outcome FROM events
+  UNION ALL
+  SELECT user_id, k + 1, CASE WHEN o IN ('upsert_applied', 'remove_applied') THEN v ELSE version END,
+         CASE WHEN o = 'upsert_applied' AND NOT media THEN true WHEN o = 'remove_applied' AND NOT media THEN false ELSE policy END,
+         CASE WHEN o = 'upsert_applied' THEN media WHEN o = 'remove_applied' THEN false ELSE limits END, o
+  FROM (
+    SELECT f.*, e.v, e.media, CASE
+        WHEN NOT e.gone THEN CASE WHEN f.version >= e.v THEN 'upsert_ignored_stale' ELSE 'upsert_applied' END
+        WHEN f.version > e.v THEN 'remove_ignored_stale'
+        WHEN f.version = e.v AND NOT (CASE WHEN e.media THEN f.limits ELSE f.policy OR f.limits END) THEN 'remove_already_removed'
+        ELSE 'remove_applied' END AS o
+    FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1
+  ) step
+)
+SELECT count(*) FILTER (outcome = 'upsert_applied')::BIGINT AS upsert_applied, count(*) FILTER (outcome = 'upsert_ignored_stale')::BIGINT AS upsert_ignored_stale,
+ count(*) FILTER (outcome = 'remove_applied')::BIGINT AS remove_applied, count(*) FILTER (outcome = 'remove_ignored_stale')::BIGINT AS remove_ignored_stale,
+ count(*) FILTER (outcome = 'remove_already_removed')::BIGINT AS remove_already_removed, 0::BIGINT AS rejected_invalid_signature FROM f""")
 def slot_mixed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upserts and removals of policies and media limits: only a fold in order gives these counts."""
     return tenants.import_report(tenants.fold(_policy_events(spark, sf_dir, True)))
@@ -684,6 +745,72 @@ def snapshot_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", binary.sha256(F.encode(whole, "UTF-8")).alias("sha256"))
 
 
+@query("""WITH c AS (SELECT 't' || (event_id % 400) AS tenant_id, count(*) AS n, max_by(event_id, event_id) AS last FROM events WHERE event_id % 400 < 150 GROUP BY 1),
+s AS (SELECT 't' || (s_suppkey % 400) AS tenant_id, s_suppkey AS version FROM supplier)
+SELECT coalesce(c.tenant_id, s.tenant_id) AS tenant_id, coalesce(s.version, 0) + coalesce(c.n, 0) AS version,
+ CASE WHEN c.tenant_id IS NULL THEN 'base' WHEN last % 3 <> 0 THEN 'p' || last END AS policy, CASE WHEN c.tenant_id IS NULL THEN 'limits' END AS limits,
+ CASE WHEN c.tenant_id IS NULL THEN 'old' WHEN last % 3 <> 0 THEN 'new' END AS provenance FROM c FULL JOIN s ON c.tenant_id = s.tenant_id""")
+def slot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unconditional upserts and removals over a table of slots."""
+    s, e = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "events").filter("event_id % 400 < 150")
+    name = lambda c: F.concat(F.lit("t"), (F.col(c) % 400).cast("string")).alias("tenant_id")
+    slots = s.select(name("s_suppkey"), F.col("s_suppkey").alias("version"), F.lit("base").alias("policy"), F.lit("limits").alias("limits"), F.lit("old").alias("provenance"))
+    changes = e.select(F.col("event_id").alias("seq"), name("event_id"), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("p"), F.col("event_id").cast("string"))).alias("policy"), F.lit("new").alias("provenance"))
+    return tenants.change_slots(slots, changes)
+
+
+def _signed(part: str) -> str:
+    """SQL of a snapshot's signed text."""
+    return f"""'{{"tenant_id":"t' || c_nationkey || '","version":' || version || ',"{part}":{{"v":' || c_custkey || '}},"provenance":null}}'"""
+
+
+_IMPORT_FORMS = [("policy", "plain"), ("policy", "sha"), ("policy", "hmac"), ("policy", "ring"), ("media", "plain"), ("media", "sha"), ("media", "hmac"), ("media", "ring")]
+
+
+@query(f"""WITH c AS (SELECT c_custkey, c_nationkey, c_custkey * 7 % 101 AS version FROM customer),
+forms AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in _IMPORT_FORMS)}) v(kind, form)),
+s AS (SELECT *, CASE WHEN kind = 'policy' THEN {_signed('policy')} ELSE {_signed('limits')} END AS text FROM c, forms),
+a AS (SELECT *, CASE form WHEN 'plain' THEN true WHEN 'ring' THEN c_custkey % 7 <> 0 AND (c_custkey % 4 = 0 OR c_custkey % 4 = 1 AND c_custkey * 11 <= 11000) ELSE c_custkey % 7 <> 0 END AS good,
+  CASE form WHEN 'sha' THEN sha256(encode(text)) WHEN 'plain' THEN NULL ELSE {_hmac_sql('text')} END AS signature FROM s),
+w AS (SELECT *, max(CASE WHEN good THEN version END) OVER (PARTITION BY kind, form, c_nationkey ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM a)
+SELECT kind, form, c_custkey AS seq, CASE WHEN NOT good THEN 'rejected_invalid_signature' WHEN top >= version THEN 'upsert_ignored_stale' ELSE 'upsert_applied' END AS outcome, signature FROM w""")
+def snapshot_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight imports. Each snapshot is signed by its own fields; one in seven is changed afterwards."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), F.concat(F.lit("t"), F.col("c_nationkey").cast("string")).alias("tenant_id"), (F.col("c_custkey") * 7 % 101).alias("version"))
+    c = c.withColumn("payload", F.concat(F.lit('{"v":'), F.col("seq").cast("string"), F.lit("}"))).withColumn("provenance", F.lit(None).cast("string"))
+    c = c.withColumn("key_id", F.concat(F.lit("k"), (F.col("seq") % 4).cast("string")))
+    out = None
+    for kind, form in _IMPORT_FORMS:
+        text = tenants.canonical_snapshot(kind, F.col("payload"), F.col("tenant_id"), F.col("version"), F.col("provenance"))
+        signature = F.lit(None).cast("string") if form == "plain" else F.sha2(text.cast("binary"), 256) if form == "sha" else binary.hmac_sha256(_SECRET, text.cast("binary"))
+        rows = c.withColumn("signature", signature).withColumn("sha256", F.col("signature")).withColumn("hmac_sha256", F.col("signature"))
+        if form != "plain":
+            rows = rows.withColumn("payload", F.when(F.col("seq") % 7 == 0, '{"v":-1}').otherwise(F.col("payload")))
+        done = tenants.imported(rows, kind, form, _SECRET, RING, F.col("seq") * 11).select("seq", "outcome")
+        one = done.join(c.select(F.col("seq").alias("c_seq"), signature.alias("signature")), F.col("seq") == F.col("c_seq"))
+        one = one.select(F.lit(kind).alias("kind"), F.lit(form).alias("form"), "seq", "outcome", "signature")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_SOUNDS = ["audio/ogg", "audio/opus", "audio/x-wav", "audio/wav", "audio/mpeg", "audio/aac", "audio/flac", "audio/x-flac", "video/mp4", "audio/amr"]
+
+
+@query("""SELECT event_id, k < 7 AS is_audio, CASE WHEN k IN (0, 1) THEN 'audio/opus' WHEN k IN (2, 3) THEN 'audio/wav' WHEN k = 4 THEN 'audio/mpeg' WHEN k = 5 THEN 'audio/aac' WHEN k = 6 THEN 'audio/flac' ELSE 'audio/unknown' END AS canonical
+FROM (SELECT event_id, event_id % 10 AS k FROM events)""")
+def audio_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mime = F.element_at(F.array(*[F.lit(x) for x in _SOUNDS]), (F.col("event_id") % 10 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", names.is_audio_type(mime).alias("is_audio"), names.canonical_audio(mime).alias("canonical"))
+
+
+@query("""SELECT n_regionkey, count(*)::BIGINT AS files, sha256(encode(string_agg(sha256(encode(n_name)) || '  ' || lower(n_name) || '/x' || n_nationkey || chr(10), '' ORDER BY lower(n_name) || '/x' || n_nationkey))) AS manifest_sha256 FROM nation GROUP BY 1""")
+def evidence_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weir.sources.sinks import ordinal_manifest
+
+    path = F.concat(F.lower("n_name"), F.lit("/x"), F.col("n_nationkey").cast("string"))
+    return ordinal_manifest(table(spark, sf_dir, "nation").select("n_regionkey", path.alias("path"), F.sha2(F.encode("n_name", "UTF-8"), 256).alias("sha256")), ("n_regionkey",))
+
+
 # --- measures -------------------------------------------------------------------------------------------------------
 
 
@@ -694,12 +821,11 @@ def duration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH m AS (SELECT user_id AS case_id, 0 AS channel, value AS x, value * 0.5 + event_id % 7 AS y FROM events),
 c AS (SELECT case_id, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y FROM m WINDOW w AS (PARTITION BY case_id)),
-s AS (SELECT case_id, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM c GROUP BY 1 HAVING count(*) > 3)
-SELECT case_id, round(10 * log10((xy * xy / xx) / (yy - xy * xy / xx)), 3) AS si_sdr_db FROM s""")
+s AS (SELECT case_id, count(*) AS n, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM c GROUP BY 1)
+SELECT case_id, CASE WHEN n > 2 THEN round(10 * log10(greatest(xy * xy / xx, 1e-30) / greatest(yy - xy * xy / xx, 1e-30)), 3) END AS si_sdr_db FROM s""")
 def si_sdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), F.lit(0).alias("channel"), F.col("event_id").alias("pos"), F.col("value").alias("reference"), (F.col("value") * 0.5 + F.col("event_id") % 7).alias("estimate"))
-    many = e.groupBy("case_id").agg(F.count("*").alias("k")).filter("k > 3").select("case_id")
-    return fidelity.si_sdr(e.join(many, "case_id", "left_semi")).select("case_id", F.round("si_sdr_db", 3).alias("si_sdr_db"))
+    return fidelity.si_sdr(e).select("case_id", F.round("si_sdr_db", 3).alias("si_sdr_db"))
 
 
 @query("SELECT event_type AS case_id, round(avg(value), 6) AS mean_ssim, avg(value) >= 50 AS passed FROM events GROUP BY 1")
@@ -734,18 +860,13 @@ def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.policy_documents(table(spark, sf_dir, "part").select("p_partkey", text.alias("document"))).select("p_partkey", "valid", "problem")
 
 
-@query(with_objects("""SELECT object_id, CASE WHEN stopped THEN 'signature_match' ELSE 'reconstruction_level_not_met' END AS reason, CASE WHEN stopped THEN sha256(payload) END AS input_sha256,
- octet_length(payload)::BIGINT AS original_size FROM decided WHERE error IS NULL""", DETECTED_SQL, _FULL_SQL.replace("decided AS", "decided0 AS") + ", decided AS (SELECT * FROM decided0 WHERE stopped OR kind = 'other')"))
+@query(with_objects("""SELECT object_id, CASE WHEN stopped THEN 'pre_scan_blocked' ELSE kind END AS parser_used, CASE WHEN stopped THEN 'signature_match' ELSE 'reconstruction_level_not_met' END AS reason,
+ CASE WHEN stopped THEN sha256(payload) END AS input_sha256, octet_length(payload)::BIGINT AS original_size FROM decided WHERE error IS NULL""", DETECTED_SQL, _FULL_SQL))
 def quarantine_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pipeline.defend(derived_objects(spark, sf_dir), policy.policy_table(spark)).filter("parser_used IN ('pre_scan_blocked', 'other')")
+    """The envelope of every blocked object, of all kinds."""
+    out = pipeline.quarantine(pipeline.defend(derived_objects(spark, sf_dir), policy.policy_table(spark)))
     stopped = F.col("parser_used") == "pre_scan_blocked"
-    return pipeline.quarantine(out).select("object_id", "reason", F.when(stopped, F.col("sha256")).alias("input_sha256"), "original_size")
-
-
-@query()
-def quarantine_all_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The envelope of every blocked object, of all kinds. Why a rebuild failed is for the decoders to say, so SQL has no part in it."""
-    return pipeline.quarantine(pipeline.defend(derived_objects(spark, sf_dir), policy.policy_table(spark)))
+    return out.select("object_id", "parser_used", "reason", F.when(stopped, F.col("sha256")).alias("input_sha256"), "original_size")
 
 
 @query(with_objects("""SELECT policy_id, coalesce(error, 'none') AS error, count(*)::BIGINT AS objects FROM (

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.functions import names
@@ -39,27 +40,52 @@ def write_new(path: str, data: bytes) -> None:
         os.unlink(passing)
 
 
+def write_new_to_store(uri: str, data: bytes) -> None:
+    """The same for a store without links: written aside and moved into place if nothing is there."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        raise FileExistsError(uri)
+    folder = os.path.dirname(path)
+    store.create_dir(folder, recursive=True)
+    passing = f"{folder}/_passing-{uuid.uuid4().hex}"
+    with store.open_output_stream(passing) as f:
+        f.write(data)
+    store.move(passing, path)
+
+
+def read_whole(path: str) -> bytes:
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    with store.open_input_stream(place) as f:
+        return f.read()
+
+
 def write_artifacts(results: DataFrame, folder: str) -> DataFrame:
-    """Released bytes as files <object_id>.<extension> of a folder that all executors mount; object_id, path, problem.
+    """Released bytes as files <object_id>.<extension> of a folder that all executors reach; object_id, path, problem.
 
-    A task that is run again finds its files in place and reports them if they hold the same bytes.
+    The folder is a mounted path, or a URI (scheme://) of a store that pyarrow.fs opens. A task that is run again finds its
+    files in place and reports them if they hold the same bytes.
     """
+    write = write_new_to_store if "://" in folder else write_new
     rows = results.filter("released").select(F.col("object_id").cast("string").alias("id"), output_extension(F.col("mime")).alias("ext"), "output")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
+        if "://" not in folder:
+            os.makedirs(folder, exist_ok=True)
         for batch in batches:
             paths, problems = [], []
             for name, ext, data in zip(*(c.to_pylist() for c in batch.columns)):
-                path, problem = os.path.join(folder, f"{name}.{ext}"), None
+                path, problem = f"{folder.rstrip('/')}/{name}.{ext}", None
                 if ext is None:
                     path, problem = None, "no extension for this type"
                 else:
                     try:
-                        write_new(path, data)
+                        write(path, data)
                     except FileExistsError:
-                        with open(path, "rb") as f:
-                            problem = None if f.read() == data else "the file exists"
+                        problem = None if read_whole(path) == data else "the file exists"
                 paths.append(path)
                 problems.append(problem)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(problems, pa.string())], ["object_id", "path", "problem"])
@@ -81,7 +107,7 @@ def json_report(results: DataFrame, profile: str, version: str = "1") -> DataFra
         F.col("input_bytes"),
         F.col("output_bytes").alias("candidate_bytes"),
         F.col("sha256").alias("candidate_sha256"),
-        F.lit(None).cast("long").alias("duration_ms"),
+        F.col("duration_ms"),
         F.transform("alerts", lambda a: F.struct(a["code"].alias("code"), a["message"].alias("message"), severity(a).alias("severity"))).alias("alerts"),
         F.col("stages"),
     )
@@ -133,3 +159,25 @@ def write_evidence(evidence: DataFrame, folder: str) -> None:
     evidence.write.mode("errorifexists").json(f"{folder}/results")
     flat = evidence.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else c for c, t in evidence.dtypes])
     flat.write.mode("errorifexists").option("header", True).csv(f"{folder}/cases")
+
+
+def checksums(spark: SparkSession, folder: str) -> DataFrame:
+    """path (below the folder), bytes and sha256 of every file there, in ordinal order of the path (by its bytes)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    root = folder.split("://", 1)[-1].rstrip("/") + "/"
+    below = F.substring_index("path", root, -1)
+    return files.select(below.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).orderBy("path")
+
+
+def ordinal_manifest(files: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The digest of each run's manifest (keys; files: path, sha256): lines of digest, two blanks and path, in ordinal order of the path."""
+    lines = F.array_sort(F.collect_list(F.struct("path", "sha256")))
+    text = F.array_join(F.transform(lines, lambda f: F.concat(f["sha256"], F.lit("  "), f["path"], F.lit("\n"))), "")
+    return files.groupBy(*keys).agg(F.count("*").alias("files"), F.sha2(text.cast("binary"), 256).alias("manifest_sha256"))
+
+
+def write_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The checksums of an evidence folder, written into it as SHA256SUMS (one part file, ordinal order)."""
+    sums = checksums(spark, folder)
+    sums.select(F.concat("sha256", F.lit("  "), "path")).coalesce(1).write.mode("errorifexists").text(f"{folder}/SHA256SUMS")
+    return sums
