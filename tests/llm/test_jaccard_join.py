@@ -73,6 +73,9 @@ def test_matrix_alone_loses_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "GROUP", 1)  # no pair is compared within a group
     monkeypatch.setattr(jaccard_join, "SEEDS", 2)
     monkeypatch.setattr(jaccard_join, "QUERIES", 3)
+    monkeypatch.setattr(jaccard_join, "CELLS", 2)  # tokens are met in blocks
+    monkeypatch.setattr(jaccard_join, "DEALT", 5)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", 0)
     docs = families(4)
     assert found(spark, docs) == brute(docs)
 
@@ -127,3 +130,21 @@ def test_shingle_sets_follow_the_words(segment, monkeypatch):
     assert all(len(v) == 1 for v in names.values())
     again = common.shingle_sets(pa.array(texts[::-1]))[::-1]
     assert all(np.array_equal(a, b) for a, b in zip(got, again))
+
+
+def test_registered_query_against_sql(spark):
+    import duckdb
+
+    from weir.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = sorted(tuple(r) for r in queries.op7_jaccard_join(spark, sf).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == sorted(con.execute(queries.OP7_SQL).fetchall())
+
+
+def test_unions_bound_what_members_share():
+    import numpy as np
+
+    assert jaccard_join.linked(np.int64(80), np.int64(100), np.int64(80)) and not jaccard_join.linked(np.int64(79), np.int64(100), np.int64(80))

@@ -11,13 +11,15 @@ class, of which only the smallest document goes on. The rest:
 3. The matrix. With tokens in a global order (rare first), two linked classes share at least k tokens among their first
    n - ceil(threshold * n) + k, with k a twelfth of the smaller set. The rows of the token-group matrix that matter are
    therefore the tokens in these prefixes that several components have. Two groups meet if their rows share k tokens
-   from members of fitting sizes in different components. For each class of the one and the other group, the group's
-   whole token union bounds the overlap that any member can have with the class; only where the bound reaches what the
-   threshold asks of the group's sizes, the group is opened and its members are compared exactly. Of two classes the
-   one in the smaller component asks.
-
-No link between different components is lost: steps 1 and 2 only save work, and step 3 covers every pair of classes
-that is not yet connected. Frequencies for the order come from all documents; each task reports tokens of several sets,
+   from members of fitting sizes in different components; a token that very many groups have is met in blocks of them.
+   Of two classes the one in the smaller component asks the other's group.
+4. Bound and open. The token union of every asked group is stored once (32 bits of each token: what collides only raises
+   a bound). An asking class meets the union alone; only where their overlap reaches what the threshold asks of the
+   group's sizes does the pair qualify, and only for qualifying pairs are the groups' members fetched and compared
+   exactly. Work on groups is dealt to tasks by weight, not by hash.
+
+No link between different components is lost: steps 1 and 2 only save work, and steps 3 and 4 cover every pair of
+classes that is not yet connected. Frequencies for the order come from all documents; each task reports tokens of several sets,
 and at most FREQUENT of them are sent to the executors. The order decides cost only, never results.
 
 Defined results: texts without words (null, empty) have an empty set and link with nothing; rows that repeat an id are
@@ -27,12 +29,13 @@ empty result; other columns don't take part.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -44,8 +47,12 @@ SEEDS = 4
 GROUP, GROUP_TOKENS, BLOCK = 256, 300_000, 8192
 #: Tokens whose frequency is known to the order (16 bytes each), and the least count in one task's different sets.
 FREQUENT, LEAST_COUNT = 1_000_000, 2
-#: Up to this many ids (8 bytes each) are broadcast to pick documents; beyond, they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Up to this many bytes, some 48 for each id and 8 for each entry of its list, are broadcast to pick documents; beyond, they are joined by a shuffle.
+BROADCAST_BYTES, ID_BYTES = 64 << 20, 48
+#: A token with more groups is met in blocks of so many, each pair of blocks by itself.
+CELLS = 1024
+#: Rows of work that one task deals out.
+DEALT = 1_000_000
 #: One in so many tokens of a set has to be shared in the prefixes (at least one).
 NEEDED = 12
 #: Classes that ask one group in one task.
@@ -152,19 +159,51 @@ def signed_sets(docs: DataFrame, id_col: str, text_col: str, threshold: int) ->
     return source.mapInArrow(common.lean(run), f"id long, n long, d1 long, d2 long, {', '.join(f's{k} long' for k in range(SEEDS))}, prefix array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rep, carried, tokens (bytes, ascending) of the documents named in ids (rep, carried: a list of longs), from their whole texts."""
+def _small(ids: DataFrame, entries: Column | int = 0) -> bool:
+    """Whether ids may be broadcast: by the bytes that they take, not by their number."""
+    n, more = ids.agg(F.count("*"), F.sum(entries if isinstance(entries, Column) else F.lit(entries))).first()
+    return n * ID_BYTES + 8 * (more or 0) <= BROADCAST_BYTES
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
+    """rep, carried, n, tokens (bytes, ascending) of the documents named in ids (rep, carried: a list of longs), from their whole texts.
+
+    With 32 bits the tokens are the distinct upper halves; n is the number of whole ones.
+    """
     chosen = ids.select(F.col("rep").alias("wanted"), "carried")
-    if chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+    if _small(chosen, F.size("carried")):
         chosen = F.broadcast(chosen)
     rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(chosen, F.col("rep") == F.col("wanted")).select("rep", "carried", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for s in common.shingle_sets(batch.column(2), WIDTH)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["rep", "carried", "tokens"])
+            sets = common.shingle_sets(batch.column(2), WIDTH)
+            data = [(s if bits == 64 else np.unique((s >> np.uint64(32)).astype(np.uint32))).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(data, pa.binary())], ["rep", "carried", "n", "tokens"])
+
+    return rows.mapInArrow(common.lean(run), "rep long, carried array<long>, n long, tokens binary")
 
-    return rows.mapInArrow(common.lean(run), "rep long, carried array<long>, tokens binary")
+
+def dealt_evenly(work: DataFrame, weight: str) -> tuple[DataFrame, int]:
+    """work (written) plus `slot`, the number of a task out of so many: each row to the lightest task so far.
+
+    A task deals out DEALT rows by itself; its rows are few and small (one for each group).
+    """
+    slots = max(1, int(work.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spelled = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = [(0, k) for k in range(slots)]
+        for batch in batches:
+            out = []
+            for w in batch.column(weight).to_pylist():
+                least, slot = load[0]
+                heapq.heapreplace(load, (least + w, slot))
+                out.append(slot)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "slot"])
+
+    gathered = work.repartition(max(1, -(-work.count() // DEALT))).sortWithinPartitions(F.desc(weight))
+    return common.written(gathered.mapInArrow(common.lean(run), f"{spelled}, slot int"), "jaccard-dealt"), slots
 
 
 def cut_groups(keyed: DataFrame) -> DataFrame:
@@ -215,12 +254,13 @@ def _local_components(sets: list[np.ndarray], threshold: int) -> list[int]:
 
 def group_edges(groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
     """Exact links within groups, as edges (a, b) from each class to the first one of its local component. Written."""
-    several = groups.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1").select("grp")
-    groups = common.written(groups.join(several, "grp").select("grp", "rep"), "jaccard-several")
-    # a class is in one group of a lane, so its list of groups has SEEDS entries at most
-    homes = common.written(groups.groupBy("rep").agg(F.collect_list("grp").alias("carried")), "jaccard-homes")
-    filled = full_sets(docs, homes, id_col, text_col).select(F.explode("carried").alias("grp"), "rep", "tokens")
-    dealt = filled.repartition("grp").sortWithinPartitions("grp", "rep")
+    several, slots = dealt_evenly(common.written(groups.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1"), "jaccard-several"), "members")
+    slotted = groups.join(several.select("grp", "slot"), "grp")
+    # a class is in one group of a lane, so its list of groups has SEEDS entries at most; group and task are one number
+    homes = common.written(slotted.groupBy("rep").agg(F.flatten(F.collect_list(F.array(F.col("grp"), F.col("slot").cast("long")))).alias("carried")), "jaccard-homes")
+    places = F.expr("transform(sequence(0, size(carried) - 2, 2), k -> struct(carried[k] AS grp, carried[k + 1] AS slot))")
+    filled = full_sets(docs, homes, id_col, text_col).select(F.explode(places).alias("at"), "rep", "tokens").select(F.col("at.grp").alias("grp"), F.col("at.slot").cast("int").alias("slot"), "rep", "tokens")
+    dealt = filled.repartitionById(slots, F.col("slot")).select("grp", "rep", "tokens").sortWithinPartitions("grp", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, reps, sets = None, [], []
@@ -282,17 +322,94 @@ def shared_only(postings: DataFrame, by: str) -> DataFrame:
     return dealt.mapInArrow(common.lean(run), spelled)
 
 
+def group_unions(asked: tuple[DataFrame, int], groups: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """grp, least, most (sizes), tokens (32 bits each, ascending): the token union of every asked group. Written.
+
+    asked: the groups (grp, members, slot) and the number of slots.
+    """
+    wanted, slots = asked
+    members = groups.join(wanted.select("grp", "slot"), "grp").select("rep", F.array(F.col("grp"), F.col("slot").cast("long")).alias("carried"))
+    filled = full_sets(docs, common.written(members, "jaccard-members"), id_col, text_col, 32).select(F.col("carried")[0].alias("grp"), F.col("carried")[1].cast("int").alias("slot"), "n", "tokens")
+    dealt = filled.repartitionById(slots, F.col("slot")).select("grp", "n", "tokens").sortWithinPartitions("grp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sizes, union, waiting, size = None, [], np.zeros(0, np.uint32), [], 0
+
+        def merged() -> np.ndarray:
+            return np.unique(np.concatenate([union, *waiting]))
+
+        def close() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([min(sizes)], pa.int64()), pa.array([max(sizes)], pa.int64()), pa.array([merged().tobytes()], pa.binary())], ["grp", "least", "most", "tokens"])
+
+        for batch in batches:
+            for k, (grp, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if grp != last:
+                    if last is not None:
+                        yield close()
+                    last, sizes, union, waiting, size = grp, [], np.zeros(0, np.uint32), [], 0
+                sizes.append(n)
+                waiting.append(np.frombuffer(batch.column(2)[k].as_buffer(), np.uint32).copy())
+                size += len(waiting[-1])
+                if size > GROUP_TOKENS:
+                    union, waiting, size = merged(), [], 0
+        if last is not None:
+            yield close()
+
+    return common.written(dealt.mapInArrow(common.lean(run), "grp long, least long, most long, tokens binary"), "jaccard-unions")
+
+
+def _parts(pairs: DataFrame, members: DataFrame | None) -> tuple[DataFrame, DataFrame, int]:
+    """pairs plus part (QUERIES asks of a group at most, about), and the parts (grp, part, slot) dealt to so many tasks by weight."""
+    asked = pairs.groupBy("grp").agg(F.count("*").alias("asks")).withColumn("parts", F.ceil(F.col("asks") / QUERIES).cast("int"))
+    if members is not None:
+        asked = asked.join(members, "grp")
+    weight = F.ceil(F.col("asks") / F.col("parts")) + (F.lit(1) if members is None else F.col("members"))
+    parts = asked.select("grp", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), weight.cast("long").alias("weight"))
+    dealt, slots = dealt_evenly(common.written(parts, "jaccard-parts"), "weight")
+    numbered = pairs.join(dealt.select("grp", "parts").distinct(), "grp").select("grp", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep")
+    return numbered, dealt.select("grp", "part", "slot"), slots
+
+
+def qualifying(pairs: DataFrame, unions: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
+    """The pairs (rep, grp) for which a class and a group's union alone share enough. Written."""
+    numbered, parts, slots = _parts(pairs, None)
+    askers = common.written(pairs.select("rep").distinct().withColumn("carried", F.array().cast("array<long>")), "jaccard-askers")
+    sets = full_sets(docs, askers, id_col, text_col, 32).select("rep", "n", "tokens")
+    asks = numbered.join(parts, ["grp", "part"]).join(sets, "rep").select("slot", "grp", "part", F.lit(1).alias("kind"), "rep", "n", F.lit(None).cast("long").alias("most"), "tokens")
+    held = parts.join(unions, "grp").select("slot", "grp", "part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("rep"), F.col("least").alias("n"), "most", "tokens")
+    dealt = held.unionByName(asks).repartitionById(slots, F.col("slot")).drop("slot").sortWithinPartitions("grp", "part", "kind", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        union, least, most = np.zeros(0, np.uint32), 0, 0
+        for batch in batches:
+            reps, grps = [], []
+            for k, (grp, kind, rep, n, top) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("grp", "kind", "rep", "n", "most")))):
+                tokens = np.frombuffer(batch.column("tokens")[k].as_buffer(), np.uint32)
+                if kind == 0:
+                    union, least, most = tokens.copy(), n, top
+                    continue
+                at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+                # tokens that fall together count as different ones, so this is no less than the overlap with any member
+                shared = min(n, int((union[at] == tokens).sum()) + n - len(tokens))
+                if linked(np.int64(shared), np.int64(n), np.int64(min(max(least, shared), most)), threshold):
+                    reps.append(rep)
+                    grps.append(grp)
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(grps, pa.int64())], ["rep", "grp"])
+
+    return common.written(dealt.mapInArrow(common.lean(run), "rep long, grp long"), "jaccard-qualified")
+
+
 def open_groups(pairs: DataFrame, groups: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
-    """pairs (rep, grp) that can link: bounds each by the group's token union, opens those that qualify; edges. Written."""
-    asked = common.written(pairs.groupBy("grp").agg(F.count("*").alias("asks")).withColumn("parts", F.ceil(F.col("asks") / QUERIES).cast("int")).select("grp", "parts"), "jaccard-asked")
-    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    asks = pairs.join(asked, "grp").select("grp", part.alias("part"), F.lit(1).alias("kind"), "rep")
-    held = groups.select("grp", "rep").join(asked, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "rep")
+    """Exact links between the classes and the members of the groups of qualifying pairs (rep, grp); edges. Written."""
+    members = groups.groupBy("grp").agg(F.count("*").alias("members"))
+    numbered, parts, slots = _parts(pairs, members)
+    asks = numbered.join(parts, ["grp", "part"]).select("slot", "grp", "part", F.lit(1).alias("kind"), "rep")
+    held = parts.join(groups.select("grp", "rep"), "grp").select("slot", "grp", "part", F.lit(0).alias("kind"), "rep")
     rows = common.written(asks.unionByName(held), "jaccard-asks")
-    named = rows.join(roots, F.col("rep") == F.col("node"), "left").select("grp", "part", "kind", "rep", F.coalesce("component", "rep").alias("root"))
+    named = rows.join(roots, F.col("rep") == F.col("node"), "left").select("slot", "grp", "part", "kind", "rep", F.coalesce("component", "rep").alias("root"))
     wanted = common.written(rows.select("rep").distinct().withColumn("carried", F.array().cast("array<long>")), "jaccard-wanted")
-    filled = named.join(full_sets(docs, wanted, id_col, text_col), "rep").select("grp", "part", "kind", "rep", "root", "tokens")
-    dealt = filled.repartition("grp", "part").sortWithinPartitions("grp", "part", "kind", "rep")
+    filled = named.join(full_sets(docs, wanted, id_col, text_col).select("rep", "tokens"), "rep").select("slot", "grp", "part", "kind", "rep", "root", "tokens")
+    dealt = filled.repartitionById(slots, F.col("slot")).drop("slot").sortWithinPartitions("grp", "part", "kind", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, reps, roots_of, sets, index = None, [], [], [], None
@@ -318,9 +435,6 @@ def open_groups(pairs: DataFrame, groups: DataFrame, roots: DataFrame, docs: Dat
                 union, at, owner, sizes = index
                 where = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
                 hit = where[union[where] == tokens]
-                # the bound: no member shares more than the union does
-                if not linked(np.int64(len(hit)), len(tokens), np.maximum(sizes, len(hit)).min(), threshold):
-                    continue
                 spans = at[hit + 1] - at[hit]
                 flat = np.repeat(at[hit] - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(int(spans.sum()))
                 shared = np.bincount(owner[flat], minlength=len(sets))
@@ -369,10 +483,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = crossing.join(groups.select(F.col("rep").alias("g_rep"), "grp", "n"), F.col("rep") == F.col("g_rep")).select("token", "root", "n", "grp")
     cells = placed.groupBy("token", "grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
     cells = common.written(cells, "jaccard-matrix")
-    other = cells.select(*[F.col(c).alias(f"o_{c}") for c in cells.columns])
+    crowded = common.written(cells.groupBy(F.col("token").alias("h_token")).agg(F.ceil(F.count("*") / CELLS).cast("int").alias("h_blocks")).filter("h_blocks > 1"), "jaccard-crowded")
+    if _small(crowded):
+        crowded = F.broadcast(crowded)
+    cells = cells.join(crowded, F.col("token") == F.col("h_token"), "left").withColumn("blocks", F.coalesce("h_blocks", F.lit(1))).drop("h_token", "h_blocks")
+    cells = cells.withColumn("block", F.pmod(F.xxhash64("grp"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    other = cells.withColumn("met", every).select(*[F.col(c).alias(f"o_{c}") for c in cells.columns], F.col("met").alias("o_met"))
+    cells = cells.withColumn("met", every)
     # each unordered pair of groups once, where members of other components and of fitting sizes have the token
     can = (
         (F.col("token") == F.col("o_token"))
+        & (F.col("block") == F.col("o_met"))
+        & (F.col("met") == F.col("o_block"))
         & (F.col("grp") > F.col("o_grp"))
         & ((F.col("lo") != F.col("hi")) | (F.col("o_lo") != F.col("o_hi")) | (F.col("lo") != F.col("o_lo")))
         & (F.col("most") * 100 >= F.col("o_least") * threshold)
@@ -393,8 +516,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     asks = ways.join(ranked, (F.col("grp") == F.col("asking")) & (F.col("rank") < F.col("top")) & fits)
     pairs = common.written(asks.select("rep", F.col("asked").alias("grp")), "jaccard-pairs")
     if not pairs.isEmpty():
-        edges = edges.unionByName(open_groups(pairs, groups, roots, docs, id_col, text_col, threshold))
-        roots = components(edges)
+        asked = dealt_evenly(common.written(groups.join(pairs.select("grp").distinct(), "grp", "left_semi").groupBy("grp").agg(F.count("*").alias("members")), "jaccard-asked"), "members")
+        unions = group_unions(asked, groups, docs, id_col, text_col)
+        pairs = qualifying(pairs, unions, docs, id_col, text_col, threshold)
+        if not pairs.isEmpty():
+            edges = edges.unionByName(open_groups(pairs, groups, roots, docs, id_col, text_col, threshold))
+            roots = components(edges)
 
     final = classes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("c_n"), F.col("d1").alias("c_d1"), F.col("d2").alias("c_d2"), F.coalesce("component", "rep").alias("root"))
     final = common.written(final, "jaccard-classes")
@@ -410,7 +537,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plain = docs.toDF(*["id" if c == id_col else "text" if c == text_col else f"x{k}" for k, c in enumerate(names)])
     found = common.written(jaccard_components(plain.select("id", "text"), "id", "text", threshold).select("id", F.col("component_id").alias("root")), "jaccard-found")
     gone = found.filter("id <> root").select(F.col("id").alias("gone")).distinct()
-    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+    if _small(gone):
         gone = F.broadcast(gone)
     kept = plain.join(gone, F.col("id") == F.col("gone"), "left_anti")
     if not found.filter("id = root").groupBy("id").count().filter("count > 1").isEmpty():
