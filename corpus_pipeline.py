@@ -58,7 +58,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: Trained classifiers and tokenised packing can't be said in SQL; tests hold the stages against brute force.
+#: Trained classifiers and tokenised packing can't be said in SQL; a test holds run() against a plain Python version of all stages.
 ORACLE_SQL = None
 
 
