@@ -144,6 +144,20 @@ def test_registered_query_against_sql(spark):
     assert got == sorted(con.execute(queries.OP7_SQL).fetchall())
 
 
+def test_the_sql_splits_words_as_the_operator_does(spark, tmp_path):
+    import duckdb
+
+    from weir.llm import queries
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab\x0b\x0c\r\n\t \x1c\x85é") for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None, "", "\r\x0b", "a\rb\x0bc\x0cd e f g", "a b c d e f g"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in queries.op7_jaccard_join(spark, str(tmp_path)).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == sorted(con.execute(queries.OP7_SQL).fetchall())
+
+
 def test_unions_bound_what_members_share():
     import numpy as np
 
