@@ -20,15 +20,17 @@ from pyspark.sql.pandas.types import from_arrow_type
 from weir.functions.binary import _entropy
 
 from . import tools
-from .codecs import Undecodable, bmp, gif, png
+from .codecs import Undecodable, bmp, gif, jpeg, png, tiff
 from .containers import Cleaned, Malformed, apng, audio, video
 
 # The shortest frame delay and the longest animation, in hundredths of a second.
 LEAST_DELAY, MOST_DELAY = 2, 6000
 
 
-def _still(data: bytes) -> tuple[Callable[[bytes], np.ndarray], tuple[int, int]]:
-    for module in (png, bmp):
+def _still(data: bytes, check: Callable[[], None] = lambda: None) -> tuple[Callable[[bytes], np.ndarray], tuple[int, int]]:
+    if data[:3] == b"\xff\xd8\xff":
+        return lambda d: jpeg.decode(d, check), jpeg.dimensions(data)
+    for module in (png, bmp, tiff):
         try:
             return module.decode, module.dimensions(data)
         except Undecodable:
@@ -63,7 +65,7 @@ class Clock:
 def image(data: bytes, p: Mapping[str, Any], clock: Clock) -> dict[str, Any]:
     most = p["image"]["max_pixels"]
     try:
-        decode, (width, height) = _still(data)
+        decode, (width, height) = _still(data, clock.check)
         if not width or not height or width * height > most:
             raise Malformed("Io", f"{width} x {height} pixels")
         clock.check()
@@ -71,11 +73,17 @@ def image(data: bytes, p: Mapping[str, Any], clock: Clock) -> dict[str, Any]:
         clock.check()
     except Undecodable as e:
         raise Malformed("Image", str(e)) from None
-    if p["image"]["output_format"] != "Png":
-        raise Malformed("Image", "only PNG can be encoded here")
+    encoders = {"Png": ("image/png", png.encode), "Jpeg": ("image/jpeg", jpeg.encode)}
+    if p["image"]["output_format"] not in encoders:
+        raise Malformed("Image", "only PNG and JPEG can be encoded here")
+    mime, encode = encoders[p["image"]["output_format"]]
+    try:
+        output = encode(pixels)
+    except Undecodable as e:
+        raise Malformed("Image", str(e)) from None
     h, w = pixels.shape[:2]
-    note = f"Rebuilt as image/png from {w} x {h} decoded pixels without any metadata."
-    return {"mime": "image/png", "output": png.encode(pixels), "alerts": [("image_metadata_stripped", note, 0)], "stages": [("ImageProbe", "Success", f"image probe succeeded width={width} height={height}")]}
+    note = f"Rebuilt as {mime} from {w} x {h} decoded pixels without any metadata."
+    return {"mime": mime, "output": output, "alerts": [("image_metadata_stripped", note, 0)], "stages": [("ImageProbe", "Success", f"image probe succeeded width={width} height={height}")]}
 
 
 def animation(data: bytes, p: Mapping[str, Any], clock: Clock) -> dict[str, Any]:
