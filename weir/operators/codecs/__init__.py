@@ -1,4 +1,4 @@
-"""Pixel codecs in Python: PNG (with APNG), GIF, JPEG, TIFF and BMP. Other pixel formats have no decoder here and fail closed."""
+"""Codecs in Python: PNG (with APNG), GIF, JPEG, TIFF and BMP, and FLAC to read. Other formats have no decoder here and fail closed."""
 
 from __future__ import annotations
 

@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import from_arrow_type
 from weir.functions.binary import _entropy
 
 from . import tools
-from .codecs import Undecodable, bmp, gif, jpeg, png, tiff
+from .codecs import Undecodable, bmp, flac, gif, jpeg, png, tiff
 from .containers import Cleaned, Malformed, apng, audio, video
 
 # The shortest frame delay and the longest animation, in hundredths of a second.
@@ -198,8 +198,23 @@ def read_animation(kind: str, data: bytes, p: Mapping[str, Any]) -> str:
     return f"all {count} animation frames decoded"
 
 
+def read_flac(data: bytes, p: Mapping[str, Any]) -> str:
+    s, samples = flac.stream(data), 0
+    if s.channels > p["audio"]["max_channels"]:
+        raise ValueError("too many audio channels")
+    for part in flac.frames(data):
+        samples += part.shape[1]
+        if samples > s.rate * p["audio"]["max_duration_secs"]:
+            raise ValueError("audio is too long")
+    if not samples:
+        raise ValueError("no decoded audio samples")
+    return f"all audio read, {samples} sample frames"
+
+
 def read_audio(data: bytes, p: Mapping[str, Any]) -> str:
-    """PCM WAV is read to its last sample; there is no decoder here for other formats, so they fail closed."""
+    """PCM WAV and FLAC are read to their last sample; there is no decoder here for other formats, so they fail closed."""
+    if data[:4] == b"fLaC":
+        return read_flac(data, p)
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("no reader for this audio format")
     at, form, body = 12, None, None
