@@ -6,21 +6,22 @@ from weir.operators import signatures as S
 
 
 def brute(data, rules):
+    """Names of the rules by the end of the first fitting match, then the longer pattern, then the earlier rule."""
     out = []
-    for r in rules:
+    for k, r in enumerate(rules):
         for at in range(len(data) - len(r.pattern) + 1):
             if data[at : at + len(r.pattern)] == r.pattern:
                 end = at + len(r.pattern)
                 if r.location == "Anywhere" or (r.location == "FirstBytes" and at < (r.limit or 0)) or (r.location == "LastBytes" and end > len(data) - (r.limit or 0)):
-                    out.append(r.name)
+                    out.append((end, -len(r.pattern), k, r.name))
                     break
-    return out
+    return [name for *_, name in sorted(out)]
 
 
 def cases():
     rng = random.Random(1)
     rules = [S.Rule(f"{loc}{size}-{lim}-{k}", bytes(rng.choice(b"ab") for _ in range(size)), loc, lim) for k, (loc, size, lim) in enumerate((loc, size, lim) for loc in ("Anywhere", "FirstBytes", "LastBytes") for size in (1, 3, 5) for lim in (0, 1, 2, 4, 100))]
-    data = [bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    data = [bytes(rng.choice(b"abc\xff\x80\xc3") for _ in range(rng.randint(0, 14))) for _ in range(400)]
     return rules, data
 
 
@@ -32,8 +33,8 @@ def test_plan_and_automaton_against_brute_force(spark):
     assert {k: v for k, v in got.items() if k is not None} == want
     seen = {}
     for r in S.scan_many(rows, rules).collect():
-        seen.setdefault(r.object_id, []).append(r.rule)
-    assert {k: sorted(v) for k, v in seen.items()} == {k: sorted(v) for k, v in want.items() if v}
+        seen.setdefault(r.object_id, []).append((r.nth, r.rule))
+    assert {k: [name for _, name in sorted(v)] for k, v in seen.items()} == {k: v for k, v in want.items() if v}
 
 
 def test_user_rules_of_a_policy(spark):

@@ -3,7 +3,7 @@
 Few rules are predicates of the plan: whether a rule's pattern occurs where it may is said without offsets, because a
 match that starts before n lies in the first n - 1 + length bytes, and one that ends after the last n bytes begin lies in
 the last n - 1 + length. Many rules go through an automaton in Python (`scan_many`), built once in each worker.
-Every rule is reported once for an object. Hits come in the order of the rules.
+Every rule is reported once for an object. Hits come in the order in which their first fitting matches end.
 """
 
 from __future__ import annotations
@@ -105,17 +105,46 @@ def _rule_matches(data: Column, r: Rule) -> Column:
     return F.contains(F.substring(data, begin, F.length(data)), lit_bytes(r.pattern))
 
 
+_MATCH = "array<struct<name:string,pattern:binary,location:string,limit:bigint>>"
+
+
+def _in_order(data: Column, matched: Column) -> Column:
+    """Names in order of the end of each rule's first fitting match; of equal ends the longer pattern, then the earlier rule, is first."""
+
+    def end(text: Column, m: Column) -> Column:
+        size = F.length(m["pattern"])
+        start = F.when(m["location"] == "LastBytes", F.greatest(F.lit(1), F.length(text) - F.least(m["limit"], F.lit(2**30)) - size + 2)).otherwise(F.lit(1))
+        return F.position(F.decode(m["pattern"], "ISO-8859-1"), text, start.cast("int")) + size
+
+    def names(text: Column) -> Column:
+        placed = F.transform(matched, lambda m, i: F.struct(end(text, m).alias("end"), (-F.length(m["pattern"])).alias("shorter"), i.alias("i"), m["name"].alias("name")))
+        return F.transform(F.array_sort(placed), lambda x: x["name"])
+
+    # in this character set a byte is a character, so that places can be found by built-in functions
+    return F.transform(F.array(F.decode(data, "ISO-8859-1")), names)[0]
+
+
 def hits(data: Column, rules: Sequence[Rule], user_rules: Column | None = None) -> Column:
-    """The names of the rules that match, in rule order; user_rules is a policy's array of rules."""
-    fixed = F.array_compact(F.array(*[F.when(_rule_matches(data, r), F.lit(r.name)) for r in rules])) if rules else F.array().cast("array<string>")
-    if user_rules is None:
-        return fixed
-    fits = F.filter(user_rules, lambda r: (F.length(r["pattern"]) > 0) & occurs(data, r["pattern"], F.length(r["pattern"]), r["location"], F.coalesce(r["limit"], F.lit(0))))
-    return F.concat(fixed, F.coalesce(F.transform(fits, lambda r: r["name"]), F.array().cast("array<string>")))
+    """The names of the rules that match, in order of the ends of their first matches; user_rules is a policy's array of rules.
+
+    Places are looked for only where several rules match.
+    """
+    one = lambda r: F.struct(F.lit(r.name).alias("name"), lit_bytes(r.pattern).alias("pattern"), F.lit(r.location).alias("location"), F.lit(r.limit).cast("long").alias("limit"))
+    which = lambda value: F.array_compact(F.array(*[F.when(_rule_matches(data, r), value(r)) for r in rules])) if rules else F.array()
+    found, matched = which(lambda r: F.lit(r.name)).cast("array<string>"), which(one).cast(_MATCH)
+    if user_rules is not None:
+        fits = F.filter(user_rules, lambda r: (F.length(r["pattern"]) > 0) & occurs(data, r["pattern"], F.length(r["pattern"]), r["location"], F.coalesce(r["limit"], F.lit(0))))
+        whole = F.transform(fits, lambda r: F.struct(r["name"].alias("name"), r["pattern"].alias("pattern"), r["location"].alias("location"), r["limit"].cast("long").alias("limit")))
+        found = F.concat(found, F.coalesce(F.transform(fits, lambda r: r["name"]), F.array().cast("array<string>")))
+        matched = F.concat(matched, F.coalesce(whole.cast(_MATCH), F.array().cast(_MATCH)))
+    return F.when(F.size(found) > 1, _in_order(data, matched)).otherwise(found)
 
 
 def scan_many(objects: DataFrame, rules: Sequence[Rule], id_col: str = "object_id", data_col: str = "payload") -> DataFrame:
-    """id_col, rule for every rule that matches: one pass over the bytes, however many rules there are."""
+    """id_col, rule, nth for every rule that matches: one pass over the bytes, however many rules there are.
+
+    nth counts an object's rules from 0 in order of the ends of their first fitting matches, as `hits` has them.
+    """
     wanted = [r for r in rules if r.pattern]
     rows = objects.select(F.col(id_col).alias("id"), F.col(data_col).alias("data"))
     id_type = rows.schema["id"].dataType.simpleString()
@@ -132,22 +161,23 @@ def scan_many(objects: DataFrame, rules: Sequence[Rule], id_col: str = "object_i
         if by_pattern:
             automaton.make_automaton()
         for batch in batches:
-            which, found = [], []
+            which, found, nth = [], [], []
             for i, data in enumerate(batch.column(1).to_pylist()):
                 if data is None or not by_pattern:
                     continue
-                seen: set[int] = set()
+                seen: dict[int, None] = {}  # in order of the ends of first matches
                 for end, (size, ks) in automaton.iter(data.decode("latin-1")):
                     for k in ks:
                         r = wanted[k]
                         fits = r.location == "Anywhere" or (end - size + 1 < (r.limit or 0) if r.location == "FirstBytes" else end + 1 > len(data) - (r.limit or 0) and (r.limit or 0) > 0)
                         if fits:
-                            seen.add(k)
+                            seen.setdefault(k)
                 which += [i] * len(seen)
-                found += [wanted[k].name for k in sorted(seen)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), pa.array(found, pa.string())], ["id", "rule"])
+                found += [wanted[k].name for k in seen]
+                nth += range(len(seen))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), pa.array(found, pa.string()), pa.array(nth, pa.int32())], ["id", "rule", "nth"])
 
-    return rows.mapInArrow(run, f"id {id_type}, rule string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {id_type}, rule string, nth int").withColumnRenamed("id", id_col)
 
 
 def executable_magic(data: Column) -> Column:

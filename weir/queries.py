@@ -103,8 +103,19 @@ def _hit_sql(column: str, r: signatures.Rule) -> str:
     return f"regexp_matches({column}, '^(..)*?{digits}')"
 
 
+def _end_sql(column: str, r: signatures.Rule) -> str:
+    """The digits up to the end of a rule's first fitting match."""
+    digits, size = r.pattern.hex().upper(), len(r.pattern)
+    before, part = "0", column
+    if r.location == "LastBytes":
+        part = f"right({column}, {2 * (r.limit - 1 + size)})"
+        before = f"length({column}) - length({part})"
+    return f"{before} + length(regexp_extract({part}, '^(..)*?{digits}'))"
+
+
 def _rules_sql(column: str, rules: list[signatures.Rule]) -> str:
-    return "list_filter([" + ", ".join(f"CASE WHEN {_hit_sql(column, r)} THEN '{r.name}' END" for r in rules) + "], lambda x: x IS NOT NULL)"
+    found = [f"CASE WHEN {_hit_sql(column, r)} THEN {{'at': {_end_sql(column, r)}, 'shorter': {-len(r.pattern)}, 'k': {k}, 'name': '{r.name}'}} END" for k, r in enumerate(rules)]
+    return "list_transform(list_sort(list_filter([" + ", ".join(found) + "], lambda x: x IS NOT NULL)), lambda x: x.name)"
 
 
 RULES = signatures.rule_set()
@@ -248,9 +259,8 @@ def sig_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL["sig_locations"])
 def sig_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("payload"))
-    found = signatures.scan_many(p, PAGE_RULES, "page_id").groupBy("page_id").agg(F.collect_set("rule").alias("found"))
-    order = F.array(*[F.lit(r.name) for r in PAGE_RULES])
-    return p.select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce(F.array_join(F.array_intersect(order, "found"), ","), F.lit("")).alias("rules"))
+    found = signatures.scan_many(p, PAGE_RULES, "page_id").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("nth", "rule"))).alias("found"))
+    return p.select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce(F.array_join("found.rule", ","), F.lit("")).alias("rules"))
 
 
 @query(with_objects(f"SELECT object_id, array_to_string({_rules_sql('hx', RULES)}, ',') AS rules FROM objects"))
