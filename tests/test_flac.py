@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from weir.operators.codecs import Undecodable, flac
-from weir.operators.rebuild import one
+from weir.operators.rebuild import Clock, one, read_again
 from weir.plans.policy import STANDARD
 
 
@@ -130,3 +130,19 @@ def test_rebuilt_flac_can_be_released():
     short = {**STANDARD, "audio": {**STANDARD["audio"], "max_channels": 1}}
     assert not one(data, "audio", "audio/x-flac", short)["read_ok"]
     assert not one(data[:-4], "audio", "audio/x-flac", STANDARD)["read_ok"]
+
+
+def test_reading_again_ends_with_the_time():
+    class Ending(Clock):
+        checks = 0
+
+        def check(self):
+            self.checks += 1
+            if self.checks > 2:
+                self.end = 0.0
+            super().check()
+
+    data = stream(tone(9), ["fixed2"])
+    assert read_again("audio", data, STANDARD, Clock(None))[0] and read_again("audio", data, STANDARD, Clock(60_000))[0]
+    clock = Ending(60_000)
+    assert read_again("audio", data, STANDARD, clock) == (False, "the time for one object is over") and clock.checks == 3

@@ -164,8 +164,8 @@ def generic(data: bytes) -> dict[str, Any]:
     }
 
 
-def read_image(data: bytes, p: Mapping[str, Any]) -> str:
-    decode, (width, height) = _still(data)
+def read_image(data: bytes, p: Mapping[str, Any], clock: Clock) -> str:
+    decode, (width, height) = _still(data, clock.check)
     _budget(width, height, p["image"]["max_pixels"])
     if decode(data).shape[:2] != (height, width):
         raise ValueError("dimensions changed during decoding")
@@ -177,12 +177,12 @@ def _budget(width: int, height: int, most: int) -> None:
         raise ValueError(f"dimensions are outside the pixel budget: {width}x{height}")
 
 
-def read_animation(kind: str, data: bytes, p: Mapping[str, Any]) -> str:
+def read_animation(kind: str, data: bytes, p: Mapping[str, Any], clock: Clock) -> str:
     if kind == "gif":
         limits = p["gif"]
         width, height = gif.dimensions(data)
         _budget(width, height, limits["max_pixels_per_frame"])
-        count = len(gif.frames(data, limits["max_frames"], limits["max_pixels_per_frame"]))
+        count = len(gif.frames(data, limits["max_frames"], limits["max_pixels_per_frame"], clock.check))
         most = limits["max_frames"] * limits["max_pixels_per_frame"]
     else:
         limits = p["animated_image"]
@@ -198,11 +198,12 @@ def read_animation(kind: str, data: bytes, p: Mapping[str, Any]) -> str:
     return f"all {count} animation frames decoded"
 
 
-def read_flac(data: bytes, p: Mapping[str, Any]) -> str:
+def read_flac(data: bytes, p: Mapping[str, Any], clock: Clock) -> str:
     s, samples = flac.stream(data), 0
     if s.channels > p["audio"]["max_channels"]:
         raise ValueError("too many audio channels")
     for part in flac.frames(data):
+        clock.check()
         samples += part.shape[1]
         if samples > s.rate * p["audio"]["max_duration_secs"]:
             raise ValueError("audio is too long")
@@ -211,10 +212,10 @@ def read_flac(data: bytes, p: Mapping[str, Any]) -> str:
     return f"all audio read, {samples} sample frames"
 
 
-def read_audio(data: bytes, p: Mapping[str, Any]) -> str:
+def read_audio(data: bytes, p: Mapping[str, Any], clock: Clock) -> str:
     """PCM WAV and FLAC are read to their last sample; there is no decoder here for other formats, so they fail closed."""
     if data[:4] == b"fLaC":
-        return read_flac(data, p)
+        return read_flac(data, p, clock)
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("no reader for this audio format")
     at, form, body = 12, None, None
@@ -242,17 +243,18 @@ def read_audio(data: bytes, p: Mapping[str, Any]) -> str:
     return f"all audio read, {samples} sample frames"
 
 
-def read_again(kind: str, data: bytes, p: Mapping[str, Any]) -> tuple[bool, str]:
-    """Whether the rebuilt bytes can be read whole, and how that went."""
+def read_again(kind: str, data: bytes, p: Mapping[str, Any], clock: Clock) -> tuple[bool, str]:
+    """Whether the rebuilt bytes can be read whole in the time that is left, and how that went."""
     try:
+        clock.check()
         if kind == "image":
-            return True, read_image(data, p)
+            return True, read_image(data, p, clock)
         if kind in ("gif", "animated_image"):
-            return True, read_animation(kind, data, p)
+            return True, read_animation(kind, data, p, clock)
         if kind == "audio":
-            return True, read_audio(data, p)
+            return True, read_audio(data, p, clock)
         if kind == "video":
-            return True, tools.verify_video(data, p["video"])
+            return True, tools.verify_video(data, {**p["video"], "ffmpeg_timeout_secs": clock.left(float(p["video"]["ffmpeg_timeout_secs"]))})
         raise ValueError("no reader for this kind of object")
     except ValueError as e:
         return False, str(e)
@@ -294,7 +296,7 @@ def one(data: bytes | None, kind: str | None, mime: str | None, p: Mapping[str,
         made = generic(data)
         made["alerts"].append(("decoder_failure_quarantine", f"The {failed} decoder failed; taken as plain bytes.", 2))
     if "output" in made:
-        made["read_ok"], made["read_detail"] = read_again(kind, made["output"], p)
+        made["read_ok"], made["read_detail"] = read_again(kind, made["output"], p, clock)
     made["alerts"] = [dict(zip(("code", "message", "severity"), a)) for a in made.get("alerts", [])]
     made["stages"] = [dict(zip(("stage", "status", "detail"), s)) for s in made.get("stages", [])]
     made["elapsed_ms"] = int((time.monotonic() - began) * 1000)
