@@ -47,6 +47,30 @@ def test_exact_while_all_are_reranked(spark, monkeypatch):
         assert [x[2] for x in got[q]] == pytest.approx([x[2] for x in want[q]], abs=1e-12)
 
 
+@pytest.mark.parametrize("cells", [256, 1])
+def test_only_counts_are_broadcast(spark, monkeypatch, cells):
+    """Copies of the blocks are more than the planner counts, so the driver must not collect them; cells of one part, or of several."""
+    for name, value in (("BLOCK", 50), ("QUERY_BLOCK", 4), ("CELLS", cells), ("CELL", 3)):
+        monkeypatch.setattr(ann, name, value, raising=False)
+    plans, written = {}, ann.common.written
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(ann.common, "written", noted)
+    rows = vectors(450)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = ann.search(df, df.filter("vec_id % 20 = 0"), k=20)
+    assert "SortMergeJoin" in plans["ann-asks"] and "Broadcast" not in plans["ann-asks"]
+    last = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in last and "copies" in last
+    got, want = {}, brute(rows, 20)
+    for r in found.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got == {q: {x[1] for x in w} for q, w in want.items()}
+
+
 def test_recall_by_table_scans(spark):
     rows = vectors(3000)
     got, want = ask(spark, rows, k=20), brute(rows, 20)

@@ -6,9 +6,9 @@ error parallel to the vector, which changes its largest inner products, weighs e
 the share `least_score` of the norm above which scores matter. Codes and centres are found by coordinate descent,
 centres on a bounded sample (SAMPLE_ROWS vectors), codes for every vector.
 
-A search meets blocks of queries with blocks of codes; vectors stay where they are. For each query a table of 256
-entries for each code byte is filled with (16-bit) partial scores, the block's codes are looked up and summed, and the
-best of the block go on. Rows are dealt to blocks at random, so a block sends its share of the `rerank` best and a
+A search meets blocks of queries with blocks of codes; vectors stay where they are, and neither side is broadcast. For
+each query a table of 256 entries for each code byte is filled with (16-bit) partial scores, the block's codes are looked
+up and summed, and the best of the block go on. Rows are dealt to blocks at random, so a block sends its share of the `rerank` best and a
 margin (MARGIN standard deviations). The `rerank` best of each query then go, by block, to the blocks' vectors: a second
 equi-join, on the number of the block, at which they are scored exactly in double precision. A block that very many
 queries ask for is copied, so that each copy has at most about ASKS of them. Of equal vectors only the k + 1 smallest
@@ -41,6 +41,8 @@ CENTRES, SUB, SWEEPS, ROUNDS, LEAST_SCORE = 16, 2, 2, 6, 0.2
 BLOCK, QUERY_BLOCK, RERANK, MARGIN = 8192, 1024, 512, 6
 #: Places in a block's numbering; queries that one copy of a block scores, about; blocks whose counts are broadcast (16 bytes each).
 SPAN, ASKS, BROADCAST_BLOCKS = 1 << 14, 32768, 1_000_000
+#: Parts of codes that are one cell for a block of queries, at most; cells times query blocks that there are at least, before a cell holds several.
+CELL, CELLS = 16, 256
 #: Merges of a query's hits before the last one.
 LANES = 64
 
@@ -233,9 +235,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RE
         return empty
     mean = rerank / parts[1]
     most = min(rerank, math.ceil(mean + MARGIN * math.sqrt(mean))) + 1
-    left = index.select("part", "block", "codes", F.explode(F.sequence(F.lit(0), F.lit(n_asked)).cast("array<long>")).alias("q_part"))
-    right = blocks.select(F.col("part").alias("q_part"), F.explode(F.sequence(F.lit(0), F.lit(n_index)).cast("array<long>")).alias("part"), "ids", "short", "vectors")
-    met = left.join(right, ["part", "q_part"]).select("block", "codes", "ids", "short", "vectors")
+    # codes are met by cells of neighbouring parts, and a block of queries is sent once to each cell. The blocks look small
+    # to the planner, which doesn't count their copies, so it is told not to broadcast them.
+    cell = max(1, min(CELL, (n_index + 1) * (n_asked + 1) // CELLS))
+    left = index.select(F.floor(F.col("part") / cell).alias("cell"), "block", "codes", F.explode(F.sequence(F.lit(0), F.lit(n_asked)).cast("array<long>")).alias("q_part"))
+    right = blocks.select(F.col("part").alias("q_part"), F.explode(F.sequence(F.lit(0), F.lit(n_index // cell)).cast("array<long>")).alias("cell"), "ids", "short", "vectors")
+    met = left.join(right.hint("merge"), ["cell", "q_part"]).select("block", "codes", "ids", "short", "vectors")
     sent = spark.sparkContext.broadcast(quantiser)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +266,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RE
     if counts.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
         counts = F.broadcast(counts)
     named = asked.select(F.col("q").alias("a_q"), F.col("id").alias("query_id"), F.col("v").alias("q_v"))
-    asks = spread.join(named, F.col("q") == F.col("a_q")).join(counts, F.col("block") == F.col("n_block"))
+    asks = spread.join(named.hint("merge"), F.col("q") == F.col("a_q")).join(counts, F.col("block") == F.col("n_block"))
     none = lambda kind: F.lit(None).cast(kind)
     asks = asks.select("block", F.pmod(F.xxhash64("q"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), "q", "query_id", "q_v", "places", none("boolean").alias("short"), none("binary").alias("ids"), none("binary").alias("vectors"))
     held = index.join(counts, F.col("block") == F.col("n_block")).select(
