@@ -95,6 +95,19 @@ def test_webm():
     assert video.write_vint(5, 2) == b"\x40\x05"
 
 
+def test_films_need_their_parts():
+    head = B.element(b"\x1a\x45\xdf\xa3", b"x")
+    void = B.element(b"\xec", b"y")
+    segment = B.element(b"\x18\x53\x80\x67", b"", True)
+    assert video.webm(head + void * 14 + segment).data == head + void * 14 + segment
+    for bad in (head, head + void * 3, head + segment + void * 15):  # the last would lose its end
+        with pytest.raises(Malformed):
+            video.webm(bad)
+    with pytest.raises(Malformed):
+        video.mp4(B.atom(b"ftyp", b"isom") + b"trail")
+    assert video.mp4(B.atom(b"ftyp", b"isom") + B.atom(b"mdat", b"m")).stripped == 0
+
+
 def test_apng():
     c = apng.apng(B.animated() + b"trailing", LIMITS)
     assert b"secret" not in c.data and b"trailing" not in c.data and c.mime == "image/apng" and c.stripped == 1 and c.stripped_bytes == 20

@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import duckdb
 import pytest
 
 from weir import queries
@@ -97,6 +98,18 @@ def test_every_blocked_object_has_an_envelope(spark, tmp_path):
     assert {r.parser_used for r in got} >= {"image", "gif", "audio", "video", "animated_image", "other", "pre_scan_blocked"}
 
 
+def test_containers_that_only_seem_whole_are_no_films(spark, tmp_path):
+    """Texts that happen to read as EBML elements or as the end of an ftyp atom: no segment, no movie, so no structure is kept."""
+    element = "@ " + "x" * 32  # a size of 32 in two bytes
+    texts = {49099: element + ("Ge" + element) * 20, 49099 + 4400: element + ("Ge" + element) * 3, 2679: "twelve bytes!", 2679 + 4400: "fewer"}
+    sf = tables(spark, tmp_path, documents=(list(texts.items()), "doc_id long, text string"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT object_id, parser_used, reason, input_sha256, original_size FROM ({queries.SQL['quarantine_envelopes']})").fetchall()
+    got = [tuple(r) for r in queries.quarantine_envelopes(spark, sf).collect()]
+    assert len(got) == 4 and {r[1] for r in got} == {"video"} and sorted(got) == sorted(want)
+
+
 def test_strip_flac_answers_for_empty_texts(spark, tmp_path):
     texts = {1: "", 2: None, 3: "x", 4: "some words"}
     sf = tables(spark, tmp_path, documents=(list(texts.items()), "doc_id long, text string"))
