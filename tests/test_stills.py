@@ -285,3 +285,19 @@ def test_rebuilt_stills():
     assert one(photo, "image", "image/jpeg", tight)["error_kind"] == "Io"
     strict = {**STANDARD, "decoder_failure_mode": "Block"}
     assert one(photo[:-9], "image", "image/jpeg", strict)["error_kind"] == one(scan[:-9], "image", "image/tiff", strict)["error_kind"] == "Image"
+
+
+def test_a_rebuilt_png_holds_no_signature_by_chance():
+    """At the usual level this picture's checksum ends in PE, before the zeros of IEND."""
+    import numpy as np
+
+    from weir.operators import rebuild
+    from weir.operators.codecs import png
+    from weir.plans import policy
+
+    line = np.frombuffer(b"\x80some words, 83939", np.uint8)
+    pixels = np.full((1, len(line), 4), 255, np.uint8)
+    pixels[0, :, :3] = line[:, None]
+    assert b"PE\0\0" in png.encode(pixels)
+    out = rebuild.image(png.encode(pixels, 1), policy.STANDARD, rebuild.Clock(None))["output"]
+    assert b"PE\0\0" not in out and (png.decode(out) == pixels).all()
