@@ -117,3 +117,9 @@ def test_strip_flac_answers_for_empty_texts(spark, tmp_path):
     kept = lambda t: hashlib.sha256(b"fLaC\x80\x00\x00\x22" + b"s" * 34 + t.encode()).hexdigest()
     # no frames behind the metadata is malformed, so nothing is kept; a null text isn't the format
     assert got == {1: (None, 0, 0), 2: (None, None, None), 3: (kept("x"), 2, 12), 4: (kept("some words"), 2, 21)}
+
+
+def test_released_formats_has_a_row_for_a_stopped_object(spark, tmp_path):
+    sf = tables(spark, tmp_path, documents=([(1, "PE\0\0"), (4, "words")], "doc_id long, text string"))
+    got = {r.object_id: (r.verdict, r.released, r.alerts, r.read) for r in queries.released_formats(spark, sf).collect()}
+    assert got[1] == ("blocked", False, "signature_match", None) and got[4][:2] == ("clean", True)

@@ -677,7 +677,7 @@ def released_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "object_id", "verdict", "released", "mime", _levels_digest("output", "mime", step).alias("levels_sha256"),
         F.array_join(F.transform("alerts", lambda a: a["code"]), ",").alias("alerts"),
-        F.filter(F.transform("stages", lambda s: s["detail"]), lambda d: d.startswith("independent_read"))[0].alias("read"),
+        F.get(F.filter(F.transform("stages", lambda s: s["detail"]), lambda d: d.startswith("independent_read")), F.lit(0)).alias("read"),
     )
 
 
