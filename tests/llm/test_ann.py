@@ -78,6 +78,28 @@ def test_recall_by_table_scans(spark):
     assert hits / (20 * len(want)) >= 0.9
 
 
+def test_recall_on_other_rows(spark):
+    """Most vectors differ little from one vector, so they have the same codes unless what remains of them is coded."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = rng.random(3000) < 0.8
+    x[near] = x[0] + 1e-4 * rng.standard_normal((int(near.sum()), 16))
+    rows = [(n, v, "s", 0) for n, v in enumerate(x.astype(np.float32).tolist())]
+    got, want = ask(spark, rows, k=20), brute(rows, 20)
+    assert sum(len({v[1] for v in got[q]} & {v[1] for v in want[q]}) for q in want) >= 0.97 * 20 * len(want)
+
+
+def test_queries_left_open_are_asked_again(spark, monkeypatch):
+    """With so few vectors scored exactly, others may belong to the nearest; all that may are scored then."""
+    monkeypatch.setattr(ann, "BLOCK", 500)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 40)
+    rows = vectors(3000)
+    got, want = ask(spark, rows, k=20, rerank=20), brute(rows, 20)
+    assert {q: [x[0] for x in v] for q, v in got.items()} == {q: [x[0] for x in v] for q, v in want.items()}
+    assert sum(len({v[1] for v in got[q]} & {v[1] for v in want[q]}) for q in want) >= 0.97 * 20 * len(want)
+
+
 def test_recall_of_the_registered_query(spark):
     import duckdb
 
